@@ -315,7 +315,7 @@ add_view(
     "fx_temporal_links",
     """
 select distinct bank_id, unnest([u, o]) as from_unit_id, unnest([o, u]) as to_unit_id, 'temporal' as link_type,
- round(greatest(0.3, 1 - gap / 3600e6 / 24), 9) as weight, cast(null as bigint) as entity_id from (
+ round(greatest(0.3, 1 - gap / 3600e6 / 24), 13) as weight, cast(null as bigint) as entity_id from (
  select a.bank_id, a.unit_id as u, b.unit_id as o, abs(epoch_us(a.at) - epoch_us(b.at)) as gap, a.batch_id = b.batch_id as own,
   row_number() over (partition by a.unit_id, a.batch_id = b.batch_id order by b.at desc, b.unit_id desc) as rn
  from fx_timed a join fx_timed b on a.bank_id = b.bank_id and a.unit_id <> b.unit_id

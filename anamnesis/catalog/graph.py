@@ -30,7 +30,7 @@ def _entity_links(t: Tables):
 @query(
     "temporal_links_events",
     """with e as (select user_id as bank_id, event_id // 7 as batch_id, event_id as unit_id, ts as at from events)
-select distinct bank_id, unnest([u, o]) as from_unit_id, unnest([o, u]) as to_unit_id, round(greatest(0.3, 1 - gap / 3600e6 / 24), 9) as weight
+select distinct bank_id, unnest([u, o]) as from_unit_id, unnest([o, u]) as to_unit_id, round(greatest(0.3, 1 - gap / 3600e6 / 24), 13) as weight
 from (select a.bank_id, a.unit_id as u, b.unit_id as o, abs(epoch_us(a.at) - epoch_us(b.at)) as gap, a.batch_id = b.batch_id as own,
  row_number() over (partition by a.unit_id, a.batch_id = b.batch_id order by b.at desc, b.unit_id desc) as rn
  from e a join e b on a.bank_id = b.bank_id and a.unit_id <> b.unit_id and abs(epoch_us(a.at) - epoch_us(b.at)) <= 86400000000)
@@ -121,8 +121,8 @@ select query_id, pattern, node, round(sum(mass), 12) as score from (
 
 
 def start_sql(seeds: str, patterns: list[tuple[str, str]], first: int) -> str:
-    return f"""select s.query_id, s.node, s.score / sum(s.score) over (partition by s.query_id, p.pattern) as mass, p.pattern, p.hop1, p.hop2
-from {seeds} s cross join {_patterns_sql(patterns, first)}"""
+    return f"""select s.query_id, s.node, case when sum(s.score) over w = 0 then 1.0 / count(*) over w else s.score / sum(s.score) over w end as mass, p.pattern, p.hop1, p.hop2
+from {seeds} s cross join {_patterns_sql(patterns, first)} window w as (partition by s.query_id, p.pattern)"""
 
 
 FUSE_SQL = """select query_id, node, round(sum(1.0 / (60 + rank)), 9) as score, row_number() over (partition by query_id

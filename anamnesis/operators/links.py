@@ -114,13 +114,13 @@ def temporal_links(units: DataFrame, stored: DataFrame | None = None) -> DataFra
         (F.col("batch_id") != F.col("o_batch_id")) & (F.col("unit_id") != F.col("o_unit_id")) & close
     )
     newest = top(near, ["bank_id", "unit_id"], [F.desc("o_at"), F.desc("o_unit_id")], TEMPORAL_PER_UNIT)
-    weight = F.round(link_weight(F.col("at"), F.col("o_at")), 9)
+    weight = F.round(link_weight(F.col("at"), F.col("o_at")), 13)
     across = both_ways(newest.select(*_edge("unit_id", "o_unit_id", "temporal", weight)))
     call = _within_call(mine, []).filter(
         F.abs(F.unix_micros("u_at") - F.unix_micros("o_at")) <= LINK_WINDOW_HOURS * HOUR_US
     )
     inside = call.select(
-        *_edge("u_unit_id", "o_unit_id", "temporal", F.round(link_weight(F.col("u_at"), F.col("o_at")), 9))
+        *_edge("u_unit_id", "o_unit_id", "temporal", F.round(link_weight(F.col("u_at"), F.col("o_at")), 13))
     )
     return distinct_edges(across.unionByName(inside))
 

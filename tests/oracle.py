@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import signal
 import sys
 import time
 from pathlib import Path
@@ -46,10 +47,12 @@ def rows(columns, data):
 
 def compare(build, sql, spark, con, sf_dir):
     """(ok, message) for one query."""
+    begin = time.time()
     df = build(spark, sf_dir)
     got = df.collect()
+    spent = time.time() - begin
     if sql is None:
-        return None, f"{len(got)} rows, no SQL"
+        return None, f"{len(got)} rows, spark {spent:.2f}s, no SQL"
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     types = [str(d[1]) for d in cur.description]
@@ -61,10 +64,11 @@ def compare(build, sql, spark, con, sf_dir):
     sql_types = dict(zip(names, types))
     same = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
     odd = [f"{n}:{spark_types[n]}/{sql_types[n]}" for n in names if same.get(spark_types[n]) != sql_types[n]]
-    note = f"{len(left)} rows" + (f" TYPES {odd}" if odd else "")
+    note = f"{len(left)} rows, spark {spent:.2f}s" + (f" TYPES {odd}" if odd else "")
     if left != right:
-        only_l = [x for x in left if x not in set(right)][:2]
-        only_r = [x for x in right if x not in set(left)][:2]
+        in_left, in_right = set(left), set(right)
+        only_l = [x for x in left if x not in in_right][:2]
+        only_r = [x for x in right if x not in in_left][:2]
         return False, f"{len(left)} vs {len(right)}; spark {str(only_l)[:600]}; sql {str(only_r)[:600]}"
     return (not odd), note
 
@@ -73,6 +77,7 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--limit", type=int, default=60, help="seconds a query may take")
     args = parser.parse_args()
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     import __spark_entry__ as entry
@@ -84,14 +89,22 @@ def main() -> int:
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not args.names or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args.names)]
     failed = []
+    def overdue(*_):
+        con.interrupt()
+        spark.sparkContext.cancelAllJobs()
+        raise TimeoutError(f"longer than {args.limit}s")
+
+    signal.signal(signal.SIGALRM, overdue)
     for name in names:
         begin = time.time()
+        signal.alarm(args.limit)
         try:
             ok, message = compare(queries[name], oracles.get(name), spark, con, sf_dir)
         except Exception as error:  # report and go on with the next query
             ok, message = False, f"{type(error).__name__}: {str(error)[:900]}"
         if ok is False:
             failed.append(name)
+        signal.alarm(0)
         print(f"{'FAIL' if ok is False else 'ok  '} {name:28s} {time.time() - begin:6.2f}s {message}", flush=True)
     print(f"{len(names) - len(failed)}/{len(names)} ok; failed: {failed}")
     return 1 if failed else 0
