@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from anamnesis.catalog import REGISTRY
+from anamnesis.catalog import chat as _chat  # noqa: F401
 from anamnesis.catalog import functions as _functions  # noqa: F401
 from anamnesis.catalog import graph as _graph  # noqa: F401
 from anamnesis.catalog import pipelines as _pipelines  # noqa: F401

@@ -9,8 +9,7 @@ from anamnesis.catalog.fixtures import AS_OF, LINK_THRESHOLD, Tables, add_view,
 from anamnesis.catalog.functions import trigrams_sql
 from anamnesis.catalog.graph import FUSE_SQL, SEEDS_SQL, start_sql, walk_sql
 from anamnesis.catalog.search import FIRST_SOURCES_SQL, entries_sql, proximity_sql, ranked_sql, spread_sql
-from anamnesis.operators import consolidate, dedup, freshness, fuse, links, reflect, search, summaries, walk
-from anamnesis.operators.order import top
+from anamnesis.operators import consolidate, dedup, freshness, fuse, reflect, search, summaries, walk
 from anamnesis.plans import recall as recall_plan
 
 add_view("fx_q_semantic", ranked_sql("fx_queries", "fx_units", "unit_id", 0.1, 34, per="fact_type"), "fx_queries", "fx_units")
@@ -288,10 +287,10 @@ def _models_refreshable(t: Tables):
 
 @query(
     "generation_candidates",
-    """select e.bank_id, x.entity_id, e.canonical_name, count(distinct x.unit_id) as obs_count from fx_unit_entities x
+    """select * from (select e.bank_id, x.entity_id, e.canonical_name, count(distinct x.unit_id) as obs_count from fx_unit_entities x
 join fx_units u on u.unit_id = x.unit_id and u.fact_type = 'observation' join fx_entities e on e.entity_id = x.entity_id
-where not exists (select 1 from fx_models m where m.entity_id = x.entity_id) group by all having count(distinct x.unit_id) >= 2
-qualify row_number() over (partition by e.bank_id order by count(distinct x.unit_id) desc, x.entity_id) <= 2""",
+where not exists (select 1 from fx_models m where m.entity_id = x.entity_id) group by all having count(distinct x.unit_id) >= 2)
+qualify row_number() over (partition by bank_id order by obs_count desc, entity_id) <= 2""",
     ("fx_unit_entities", "fx_entities", "fx_models"),
 )
 def _generation_candidates(t: Tables):

@@ -45,7 +45,7 @@ def normalize(messages: DataFrame) -> DataFrame:
     before = with_previous(messages, keys, order, turn_block("turn"), ["role", "id"])
     same = (F.col("prev.role") == F.col("role")) & (F.col("prev.id") == F.col("id"))
     starts = ~F.coalesce(same, F.lit(False))
-    runs = with_run(before.drop("prev"), keys, order, turn_block("turn"), starts)
+    runs = with_run(before, keys, order, turn_block("turn"), starts).drop("prev")
     first = F.col("turn") == F.col("run.turn")
     content = F.coalesce("content", F.lit(""))
     parts = F.struct("turn", F.when(first, F.trim(content)).otherwise(content).alias("content"))
@@ -228,7 +228,7 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     before = with_previous(rows, ["stream_id"], ["seq"], block, ["role", "type"])
     grows = (F.col("prev.role") == F.col("role")) & ~F.coalesce(F.col("prev.type").isin("start", "end"), F.lit(False))
     starts = ~F.coalesce(grows, F.lit(False)) | (F.coalesce(F.col("type"), F.lit("")) == "start")
-    runs = with_run(before.drop("prev"), ["stream_id"], ["seq"], block, starts)
+    runs = with_run(before, ["stream_id"], ["seq"], block, starts).drop("prev")
     body = runs.filter(F.coalesce(F.col("type"), F.lit("")) != "start")
     part = F.struct(F.col("seq").alias("turn"), F.col("text").alias("content"))
     return (
