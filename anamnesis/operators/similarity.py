@@ -99,6 +99,8 @@ def _block_search(threshold: float, k: int | None, pairs: bool, per: str | None,
 def _pivot_rows(units: DataFrame) -> np.ndarray:
     """A fixed number of pivot vectors, chosen by the hash of their id."""
     picked = units.select("_uid", "_vec").orderBy(F.xxhash64("_uid"), "_uid").limit(PIVOTS).collect()
+    if not picked:
+        return np.zeros((0, 0))
     rows = np.asarray([r["_vec"] for r in picked], dtype=np.float64)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
