@@ -45,9 +45,13 @@ from g a join g b on b.doc_id = a.doc_id + 1""",
 )
 def _bigram_similarity(t: Tables):
     grams = t.read("documents").select("doc_id", text.bigrams(F.col("text")).alias("grams"))
-    after = grams.select((F.col("doc_id") - 1).alias("doc_id"), F.col("grams").alias("other"))
-    score = F.round(text.gram_overlap(F.col("grams"), F.col("other")), 6)
-    return grams.join(after, "doc_id").select("doc_id", score.alias("similarity"))
+    # each document meets its successor without its pairs being cut twice
+    slots = F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("slot")
+    pairs = grams.select("doc_id", "grams", slots).groupBy("slot").agg(
+        F.min_by("grams", "doc_id").alias("a"), F.max_by("grams", "doc_id").alias("b"), F.count("*").alias("n")
+    )
+    score = F.round(text.gram_overlap(F.col("a"), F.col("b")), 6)
+    return pairs.filter("n = 2").select(F.col("slot").alias("doc_id"), score.alias("similarity"))
 
 
 def trigrams_sql(column: str) -> str:

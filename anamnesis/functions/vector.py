@@ -19,6 +19,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit_vector(a: Column) -> Column:
+    """The vector scaled to length 1; a zero vector stays zero."""
+    length = norm(a)
+    return F.when(length == 0, F.transform(a, lambda x: F.lit(0.0))).otherwise(
+        F.transform(a, lambda x: x.cast("double") / length)
+    )
+
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two unit vectors, one pass over the pair."""
+    return F.round(dot(a, b), SIM_DIGITS)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; a zero vector gives 0, unequal lengths are an error."""
     scale = norm(a) * norm(b)

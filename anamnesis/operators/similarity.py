@@ -128,6 +128,36 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataF
     return df.mapInArrow(assign, schema)
 
 
+def block_grid(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, left_rows: int, right_rows: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cut both sides of a keyed join into blocks of about the given sizes.
+
+    Every row of one side is copied once per block of the other, so that the
+    returned block columns pair every left with every right row of a key
+    exactly once, a bounded number at a time.
+    """
+
+    def sizes(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    grid = sizes(left, left_rows, "_nl").join(sizes(right, right_rows, "_nr"), list(keys))
+
+    def spread(df: DataFrame, own: str, count: str, other: str, other_count: str, key: str) -> DataFrame:
+        return (
+            df.join(grid, list(keys))
+            .withColumn(own, F.pmod(F.xxhash64(key), F.col(count)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+            .drop("_nl", "_nr")
+        )
+
+    return (
+        spread(left, "_lb", "_nl", "_rb", "_nr", left_id),
+        spread(right, "_rb", "_nr", "_lb", "_nl", right_id),
+        [*keys, "_lb", "_rb"],
+    )
+
+
 def _search(
     queries: DataFrame,
     units: DataFrame,
@@ -156,23 +186,7 @@ def _search(
             left, right = _with_cells(left, pivots, None), _with_cells(right, pivots, reach)
             cells.append("_cell")
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*cells).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias(name))
-
-    grid = sizes(left, "_nu").join(sizes(right, "_nq"), cells)
-
-    def spread(df: DataFrame, own: str, count: str, other: str, other_count: str, key: str) -> DataFrame:
-        """Each row in its own block, copied once per block of the other side."""
-        return (
-            df.join(grid, cells)
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(count)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-            .drop("_nu", "_nq")
-        )
-
-    left = spread(left, "_ub", "_nu", "_qb", "_nq", "_uid")
-    right = spread(right, "_qb", "_nq", "_ub", "_nu", "_qid")
-    blocks = [*cells, "_ub", "_qb"]
+    left, right, blocks = block_grid(left, right, cells, "_uid", "_qid", rows_per_block, rows_per_block)
     fields = [
         T.StructField("_qid", right.schema["_qid"].dataType),
         T.StructField("_uid", left.schema["_uid"].dataType),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.operators.links import edges_topk
 from anamnesis.operators.order import top
+from anamnesis.session import materialize
 
 # --- fixed values: link types of the two hops of each pattern
 SEMANTIC_PATTERNS = [
@@ -67,15 +68,20 @@ def walk(seeds: DataFrame, links: DataFrame, temporal_seeds: DataFrame | None =
 
     Each node keeps KEPT of the mass it holds and pushes the rest over its
     heaviest edges; what is left on the frontier at the end is added.
-    All queries and patterns share one join per hop.
+    All queries and patterns share one join per hop; the ranked edges and the
+    frontier are stored between the hops that use them twice.
     """
-    edges = edges_topk(links).select(
-        F.col("from_unit_id").alias("node"), "link_type", F.col("to_unit_id").alias("to_node"), "share"
+    edges = materialize(
+        edges_topk(links).select(
+            F.col("from_unit_id").alias("node"), "link_type", F.col("to_unit_id").alias("to_node"), "share"
+        ),
+        "edges",
     )
     start = _start(seeds, SEMANTIC_PATTERNS, 0)
     if temporal_seeds is not None:
         start = start.unionByName(_start(temporal_seeds, TEMPORAL_PATTERNS, len(SEMANTIC_PATTERNS)))
-    middle = _hop(start, edges, "hop1")
+    start = materialize(start, "walk-start")
+    middle = materialize(_hop(start, edges, "hop1"), "walk-middle")
     end = _hop(middle, edges, "hop2")
     kept = start.select("query_id", "pattern", "node", "mass").unionByName(middle.select("query_id", "pattern", "node", "mass"))
     held = kept.filter(F.col("mass") >= MIN_MASS).withColumn("mass", F.col("mass") * KEPT)

@@ -174,10 +174,11 @@ def test_exact_name_ignores_case_and_repeats(spark):
 
 def test_recent_entity_scores_higher(spark):
     day = ts("2026-02-19")
-    near = entity_case(spark, ["Alicia"], day, ts("2026-02-18"))[1]
-    far = entity_case(spark, ["Alicia"], day, ts("2026-01-18"))[1]
-    none = entity_case(spark, ["Alicia"])[1]
-    assert near.get("Alicia", 0) > far.get("Alicia", 0) == none.get("Alicia", 0)
+    near = entity_case(spark, ["Alicee"], day, ts("2026-02-18"))
+    far = entity_case(spark, ["Alicee"], day, ts("2026-01-18"))
+    none = entity_case(spark, ["Alicee"])
+    assert near[0] == {"Alicee": False} and near[1]["Alicee"] > 0.6
+    assert far == none == ({"Alicee": True}, {})
 
 
 MESSAGES = "conv_id bigint, turn bigint, role string, content string"

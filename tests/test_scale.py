@@ -1,5 +1,6 @@
 """Operators cut into many small blocks give what the plain computation gives."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -121,8 +122,10 @@ def test_close_names_miss_no_good_match(spark):
     rng = random.Random(6)
     names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)})
     known = sorted({n[: rng.randint(1, 9)] + rng.choice(["", "a", "bd"]) for n in names})
-    mentions = spark.createDataFrame([(i, 0, n, None) for i, n in enumerate(names)], "call_id bigint, bank_id bigint, name string, event_date timestamp")
-    stored = spark.createDataFrame([(0, i, n, None) for i, n in enumerate(known)], "bank_id bigint, entity_id bigint, canonical_name string, last_seen timestamp")
+    at = dt.datetime(2026, 1, 5)
+    mentions = spark.createDataFrame([(i, 0, n, at) for i, n in enumerate(names)], "call_id bigint, bank_id bigint, name string, event_date timestamp")
+    seen = dt.datetime(2026, 1, 8, 6)
+    stored = spark.createDataFrame([(0, i, n, seen) for i, n in enumerate(known)], "bank_id bigint, entity_id bigint, canonical_name string, last_seen timestamp")
     none = spark.createDataFrame([], "entity_id bigint, company string")
     got = {(r.name, r.canonical_name) for r in entities.entity_scores(mentions, stored, none).collect()}
     from difflib import SequenceMatcher
@@ -189,11 +192,12 @@ def test_continuity_closed_form_equals_the_machine(spark):
         assert got[tick] == (state["no_comment_count"], action, state["sleep_mode"])
 
 
-def test_keyword_search_is_exact(spark):
+@pytest.mark.parametrize("rows_per_block", [1, 1024])
+def test_keyword_search_is_exact(spark, rows_per_block):
     texts = ["red apple pie", "green apple", "blue sky", "pie in the sky"]
     units = spark.createDataFrame([(0, i, t, None, "world") for i, t in enumerate(texts)], "bank_id bigint, unit_id bigint, text string, context string, fact_type string")
     asked = spark.createDataFrame([(1, 0, "apple"), (2, 0, "sky pie"), (3, 1, "apple")], "query_id bigint, bank_id bigint, text string")
-    got = {(r.query_id, r.unit_id) for r in search.keyword_search(asked, units).collect()}
+    got = {(r.query_id, r.unit_id) for r in search.keyword_search(asked, units, rows_per_block=rows_per_block).collect()}
     assert got == {(1, 0), (1, 1), (2, 0), (2, 2), (2, 3)}
 
 
