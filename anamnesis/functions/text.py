@@ -35,6 +35,11 @@ CHARS_PER_TOKEN = 3
 MAX_INPUT_CHARS = 200
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -130,13 +135,13 @@ def idle_phrase(text: Column) -> Column:
     tag = F.lower(F.regexp_extract(text, r"^\s*\[(.*?)\]", 1))
     return F.struct(
         F.when(tag.isin(EMOTIONS), tag).otherwise(F.lit("neutral")).alias("emotion"),
-        F.trim(F.regexp_replace(text, r"\[.*?\]", "")).alias("body"),
+        strip(F.regexp_replace(text, r"\[.*?\]", "")).alias("body"),
     )
 
 
 def clean_text(text: Column) -> Column:
     """Text without emoji; NULL when nothing but symbols is left."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), EMOJI_CLASS, "")
+    bare = F.regexp_replace(strip(text), EMOJI_CLASS, "")
     return F.when((F.length(bare) > 0) & ~bare.rlike(f"^{SYMBOL_CLASS}+$"), bare)
 
 
@@ -152,7 +157,7 @@ def substitute_terms(text: Column, readings: dict[str, str]) -> Column:
 
 
 def parse_word_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda w: F.trim(w)), lambda w: F.length(w) > 0)
+    return F.filter(F.transform(F.split(text, ","), lambda w: strip(w)), lambda w: F.length(w) > 0)
 
 
 def input_problem(text: Column, blocked: Column, max_chars: int = MAX_INPUT_CHARS) -> Column:
@@ -167,7 +172,7 @@ def salvage_json_array(text: Column) -> Column:
     The whole answer if it parses as an array, else the first bracket-balanced
     ``[...]`` in it.
     """
-    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    body = strip(text)
     tail = F.substring(body, F.locate("[", body), F.length(body))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import chat
+from anamnesis.functions.text import strip
 from anamnesis.operators.order import top, turn_block, with_previous, with_run
 
 # Fixed values of the log rules.
@@ -48,7 +49,7 @@ def normalize(messages: DataFrame) -> DataFrame:
     runs = with_run(before, keys, order, turn_block("turn"), starts).drop("prev")
     first = F.col("turn") == F.col("run.turn")
     content = F.coalesce("content", F.lit(""))
-    parts = F.struct("turn", F.when(first, F.trim(content)).otherwise(content).alias("content"))
+    parts = F.struct("turn", F.when(first, strip(content)).otherwise(content).alias("content"))
     aggregates = [
         F.first("role").alias("role"),
         F.first("id").alias("id"),
@@ -205,7 +206,7 @@ def comment_match(answers: DataFrame, comments: DataFrame) -> DataFrame:
     contains or is contained in it, then the first of the tick.
     """
     keys = ["channel_id", "tick"]
-    bare = F.trim(F.regexp_replace(F.regexp_replace("answer", "^[\"'「『（(]+", ""), "[\"'」』）)]+$", ""))
+    bare = strip(F.regexp_replace(F.regexp_replace("answer", "^[\"'「『（(]+", ""), "[\"'」』）)]+$", ""))
     said = answers.select(*keys, bare.alias("_said"))
     quality = (
         F.when(F.col("comment") == F.col("_said"), 0)
