@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.catalog import REGISTRY, query
-from anamnesis.catalog.fixtures import Tables, as_of
+from anamnesis.catalog.fixtures import LINK_THRESHOLD, Tables, as_of
+from anamnesis.catalog.memory import trim_sql
 from anamnesis.functions import hooks
 from anamnesis.operators import live
+from anamnesis.operators.links import temporal_links
+from anamnesis.operators.order import top
+from anamnesis.plans import recall as recall_plan
 from anamnesis.plans import retain as retain_plan
+from anamnesis.plans.consolidation import consolidate_all
 from anamnesis.session import scratch_path
+from anamnesis.sources import tables
 from anamnesis.streaming import live as streams
 from anamnesis.streaming.fold import run_to_end
 
 
 def _stream(t: Tables) -> DataFrame:
     schema = t.read("events").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(t.sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -72,7 +78,19 @@ def _stream_presence(t: Tables):
     return _finish(t, streams.presence(detections, 600, 1800, 3600), "presence")
 
 
-@query("stream_chunks")
+@query(
+    "stream_chunks",
+    """, c as (select stream_id, seq, case when role = 'console' then 'code' else role end as role, type, text from fx_chunks where role <> 'user'),
+p as (select *, lag(role) over w as prole, lag(type) over w as ptype from c window w as (partition by stream_id order by seq)),
+r as (select *, sum(case when prole = role and coalesce(ptype, '') not in ('start', 'end') and coalesce(type, '') <> 'start' then 0 else 1 end)
+ over (partition by stream_id order by seq) as run from p),
+m as (select stream_id, run, min(seq) as seq, any_value(role) as role, string_agg(text, '' order by seq) filter (coalesce(type, '') <> 'start') as text,
+ bool_or(coalesce(type, '') = 'end') as ended, count(*) filter (coalesce(type, '') <> 'start') as n from r group by 1, 2)
+select stream_id, case when exists (select 1 from r where r.stream_id = m.stream_id and r.run = m.run and r.type = 'start')
+ then (select min(r.seq) from r where r.stream_id = m.stream_id and r.run = m.run and coalesce(r.type, '') <> 'start') else seq end as seq, role, text
+from m where n > 0 and (ended or run < (select max(run) from r x where x.stream_id = m.stream_id))""",
+    ("fx_chunks",),
+)
 def _stream_chunks(t: Tables):
     kind = F.col("event_type")
     chunks = _stream(t).select(
@@ -95,6 +113,68 @@ def _contents(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "recall_response",
+    f"""select s.query_id, cast(s.rn as integer) as rn, s.unit_id, u.fact_type, u.fact_kind, round(s.score, 4) as score,
+ strftime(u.event_date, '%Y-%m-%dT%H:%M:%SZ') as event_date from ({trim_sql(8192, 100)}) s join fx_units u on u.unit_id = s.unit_id""",
+    ("fx_scored", "fx_units"),
+)
+def _recall_response(t: Tables):
+    found = recall_plan.recall(t.queries, t.units, t.links, as_of(), "high", seed_threshold=LINK_THRESHOLD)
+    return recall_plan.response(found).drop("text", "context")
+
+
+@query(
+    "retain_links",
+    """, fresh as (select * from fx_units where batch_id % 2 = 1), old as (select * from fx_units where batch_id % 2 = 0),
+found as (select a.bank_id, a.unit_id as u, b.unit_id as o, row_number() over (partition by a.unit_id order by ab desc, b.unit_id desc) as rn, gap from (
+ select a.*, b.unit_id as b_id, b.at as ab, abs(epoch_us(a.at) - epoch_us(b.at)) as gap from fx_timed a join fx_timed b on a.bank_id = b.bank_id
+ and a.batch_id % 2 = 1 and b.batch_id % 2 = 0 and abs(epoch_us(a.at) - epoch_us(b.at)) <= 86400000000) a join fx_units b on b.unit_id = a.b_id),
+own as (select a.bank_id, a.unit_id as u, b.unit_id as o, abs(epoch_us(a.at) - epoch_us(b.at)) as gap from fx_timed a join fx_timed b
+ on a.bank_id = b.bank_id and a.batch_id = b.batch_id and a.unit_id <> b.unit_id and a.batch_id % 2 = 1 and abs(epoch_us(a.at) - epoch_us(b.at)) <= 86400000000)
+select distinct bank_id, unnest([u, o]) as from_unit_id, unnest([o, u]) as to_unit_id, round(greatest(0.3, 1 - gap / 3600e6 / 24), 13) as weight
+from (select bank_id, u, o, gap from found where rn <= 10 union all select * from own)""",
+    ("fx_units", "fx_timed"),
+)
+def _retain_links(t: Tables):
+    """Temporal links of the odd calls when the even ones are stored."""
+    fresh, stored = (t.units.filter(F.col("batch_id") % 2 == odd) for odd in (1, 0))
+    return temporal_links(fresh, stored).drop("link_type", "entity_id")
+
+
+@query("consolidate_all")
+def _consolidate_all(t: Tables):
+    """All facts folded into observations, a thousand of a bank a round."""
+    waiting = t.units.withColumns({"consolidated_at": F.lit(None).cast("timestamp"), "proof_count": F.lit(1).cast("bigint")})
+    done = consolidate_all(waiting, t.obs_sources, as_of(), per_bank=1000)
+    return done.units.groupBy("bank_id", "fact_type").agg(
+        F.count("*").alias("units"), F.count("consolidated_at").alias("done"), F.sum("proof_count").alias("proofs")
+    )
+
+
+@query(
+    "tables_load",
+    "select l_orderkey as unit_id, l_suppkey as entity_id, count(*) as n from lineitem group by all",
+)
+def _tables_load(t: Tables):
+    """A bridge table stored in two appends and read back with its schema."""
+    path = scratch_path(t.spark, "tables")
+    rows = t.read("lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_suppkey").alias("entity_id"), "l_linenumber")
+    for first in (True, False):
+        part = rows.filter((F.col("l_linenumber") == 1) == F.lit(first))
+        tables.store(part.drop("l_linenumber"), path, "unit_entities")
+    return tables.load(t.spark, path, "unit_entities").groupBy("unit_id", "entity_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "recent_messages",
+    "select conv_id, turn, rn from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) where rn <= 3",
+)
+def _recent_messages(t: Tables):
+    recent = top(t.messages, ["conv_id"], [F.desc("turn")], 3)
+    return recent.select("conv_id", "turn", F.col("rn").cast("bigint").alias("rn"))
+
+
 @query("retain")
 def _retain(t: Tables):
     return retain_plan.retain(_contents(t), as_of()).counts

@@ -150,7 +150,7 @@ def silence_segments(speech: DataFrame, timeout_seconds: float) -> DataFrame:
         runs.groupBy("device_id", "run")
         .agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("pieces"), joined.alias("transcript"))
         .drop("run")
-        .filter(F.length(F.trim("transcript")) > 0)
+        .filter(F.col("transcript").rlike(r"\S"))
     )
 
 

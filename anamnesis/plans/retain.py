@@ -13,6 +13,7 @@ from anamnesis.functions.text import embedding_text
 from anamnesis.operators import dedup, entities, links
 from anamnesis.session import materialize
 
+# room for the facts of one call in the id order
 FACTS_PER_CALL = 1_000_000
 
 
@@ -27,12 +28,15 @@ class Retained:
 
 
 def facts_of(contents: DataFrame, as_of: Column, extractor=None, embedder=hooks.hashed_words) -> DataFrame:
-    """Valid facts with ids in arrival order, and their embeddings."""
+    """Valid facts with ids in arrival order, and their embeddings.
+
+    A content that yields more than CALL_FACTS facts counts as several calls.
+    """
     raw = hooks.sentence_facts(contents) if extractor is None else hooks.extract_facts(contents, extractor)
     facts = validate_facts(raw).select(
         (F.col("call_id") * FACTS_PER_CALL + F.col("pos")).alias("unit_id"),
         "bank_id",
-        F.col("call_id").alias("batch_id"),
+        (F.col("call_id") * FACTS_PER_CALL + F.floor(F.col("pos") / links.CALL_FACTS)).alias("batch_id"),
         "text",
         F.nullif("context", F.lit("")).alias("context"),
         "fact_type",

@@ -19,8 +19,9 @@ def keyed_fold(
     """Rows ``step(state, row)`` gives for every row of a key, in order.
 
     The state is one small JSON value per key.  Rows are ordered inside a
-    micro-batch; a row that arrives a batch too late meets the later state and
-    it is up to ``step`` to ignore it.
+    micro-batch, whose size the source bounds (maxFilesPerTrigger, or its like);
+    a row that arrives a batch too late meets the later state and it is up to
+    ``step`` to ignore it.
     """
     columns = [part.strip().split()[0] for part in schema.split(",")]
 
