@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import exact_dedup, mixing
+from anamnesis.llm import bpe, exact_dedup, mixing
 from anamnesis.llm.base import table
 
 
@@ -18,9 +18,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_bpe_tokens": op7_bpe_tokens,
 }
 
 SQL: dict[str, str] = {
