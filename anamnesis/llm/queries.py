@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pii, toxicity
+from anamnesis.llm import bpe, embedding_dedup, exact_dedup, main_text, mixing, near_dedup, pii, toxicity
 from anamnesis.llm.base import table
 
 
@@ -34,6 +34,10 @@ def op7_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op7_bpe_tokens": op7_bpe_tokens,
+    "op9_main_text": op9_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
