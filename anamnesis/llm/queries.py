@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import bpe, embedding_dedup, exact_dedup, main_text, mixing, near_dedup, pii, toxicity
+from anamnesis.llm import bpe, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, near_dedup, pii, toxicity
 from anamnesis.llm.base import table
 
 
@@ -30,6 +30,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_report(table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_line_runs": op6_line_runs,
     "op7_bpe_tokens": op7_bpe_tokens,
     "op9_main_text": op9_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op6_line_runs": line_dedup.SQL,
 }
