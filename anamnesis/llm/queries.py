@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import bpe, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, near_dedup, pii, toxicity
+from anamnesis.llm import bpe, embedding_dedup, exact_dedup, licenses, line_dedup, main_text, mixing, near_dedup, pii, toxicity
 from anamnesis.llm.base import table
 
 
@@ -38,6 +38,10 @@ def op7_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_texts(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_line_runs": op6_line_runs,
     "op7_bpe_tokens": op7_bpe_tokens,
+    "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
