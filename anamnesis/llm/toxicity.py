@@ -37,11 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.base import free_name
+from anamnesis.session import materialize
 
 #: Toxic and clean labelled texts that the machine is fitted on at most.
-SAMPLE = (1_500, 6_000)
+SAMPLE = (1_500, 4_000)
 LANDMARKS = 96
-ROUNDS = 5
+ROUNDS = 4
 THRESHOLD = 0.3
 DECAY = 0.6
 WINDOW, STRIDE = 12, 4
@@ -68,10 +69,10 @@ def raw_words(text: str) -> list[str]:
 
 
 def windows(word: str) -> list[str]:
-    """The word's letters and digits, in windows that overlap when it is long; every 8 of them share a window."""
-    plain = _NOISE.sub("", word)
+    """The word's letters and digits between marks of its ends, in windows that overlap when it is long."""
+    plain = f"^{_NOISE.sub('', word)}$"
     if len(plain) <= WINDOW:
-        return [plain] if len(plain) > 2 else []
+        return [plain] if len(plain) > 4 else []
     return [plain[at : at + WINDOW] for at in range(0, len(plain) - WINDOW + STRIDE, STRIDE)]
 
 
@@ -83,16 +84,14 @@ class Alphabet:
         self.code = {ord(c): i + 1 for i, c in enumerate(seen)}
 
     def codes(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), WINDOW), dtype=np.int32)
         code = self.code
-        for row, string in zip(out, strings):
-            row[: len(string)] = [code.get(ord(c), 0) for c in string]
-        return out
+        flat = bytes(code.get(ord(c), 0) for string in strings for c in string.ljust(WINDOW, "\0"))
+        return np.frombuffer(flat, dtype=np.uint8).reshape(-1, WINDOW)
 
     def triples(self, string: str) -> dict[int, float]:
         """The feature vector of a string: triple number -> weight."""
         vector: dict[int, float] = {}
-        codes = self.codes([string])[0]
+        codes = self.codes([string])[0].astype(int)
         for i, j, k in TRIPLES:
             if codes[i] and codes[j] and codes[k]:
                 at = int((codes[i] * SYMBOLS + codes[j]) * SYMBOLS + codes[k])
@@ -100,12 +99,17 @@ class Alphabet:
         return vector
 
 
-def weigh(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of table[triple] * DECAY^stretch over the triples of every row; a column of the table each column."""
+def weigh(codes: np.ndarray, table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sum of table[triple] * DECAY^stretch over the triples of every row of codes.
+
+    ``rows`` gives each triple's row of the table, where the table holds only the triples in use.
+    """
     total = np.zeros((len(codes), *table.shape[1:]), dtype=np.float32)
-    pairs = {(i, j): codes[:, i] * SYMBOLS + codes[:, j] for i, j in {t[:2] for t in TRIPLES}}
-    for i, j, k in TRIPLES:
-        total += np.float32(DECAY ** (k - i + 1)) * table[pairs[i, j] * SYMBOLS + codes[:, k]]
+    for at in range(0, len(codes), 8_192):
+        some = codes[at : at + 8_192].astype(np.int32)
+        for i, j, k in TRIPLES:
+            triple = (some[:, i] * SYMBOLS + some[:, j]) * SYMBOLS + some[:, k]
+            total[at : at + 8_192] += np.float32(DECAY ** (k - i + 1)) * table[triple if rows is None else rows[triple]]
     return total
 
 
@@ -116,41 +120,44 @@ class Machine:
         self.alphabet = Alphabet(landmarks)
         vectors = [self.alphabet.triples(mark) for mark in landmarks]
         norms = [np.sqrt(sum(v * v for v in vector.values())) or 1.0 for vector in vectors]
-        self.basis = np.zeros((SYMBOLS**3, len(landmarks)), dtype=np.float32)
+        used = sorted({at for vector in vectors for at in vector})
+        # row 0 is for all triples that no landmark has
+        self.rows = np.zeros(SYMBOLS**3, dtype=np.int32)
+        self.rows[used] = np.arange(1, len(used) + 1)
+        self.basis = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
         for column, (vector, norm) in enumerate(zip(vectors, norms)):
             for at, weight in vector.items():
-                self.basis[at, column] = weight / norm
-        used = np.flatnonzero(self.basis.any(axis=1))
-        gram = self.basis[used].T.astype(np.float64) @ self.basis[used]
+                self.basis[self.rows[at], column] = weight / norm
+        gram = self.basis.T.astype(np.float64) @ self.basis
         values, axes = np.linalg.eigh(gram)
         keep = values > 1e-6
         self.whiten = axes[:, keep] / np.sqrt(values[keep])
-        self.table = self.basis.sum(axis=1)
+        self.table = self.basis.sum(axis=1)[self.rows]
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
 
-    def features(self, strings: list[str]) -> np.ndarray:
-        return weigh(self.alphabet.codes(strings), self.basis).astype(np.float64) @ self.whiten
+    def features(self, codes: np.ndarray) -> np.ndarray:
+        return weigh(codes, self.basis, self.rows).astype(np.float64) @ self.whiten
 
     def set(self, weights: np.ndarray, bias: float) -> None:
-        self.table = (self.basis @ (self.whiten @ weights).astype(np.float32)).astype(np.float32)
+        self.table = (self.basis @ (self.whiten @ weights).astype(np.float32)).astype(np.float32)[self.rows]
         self.bias = bias
 
-    def best_window(self, word: str) -> str:
-        """The window that stands for a word."""
-        cut = windows(word) or [""]
-        return cut[int(np.argmax(weigh(self.alphabet.codes(cut), self.table)))]
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the windows of all words, and the number of each window's word."""
+        cut = [windows(word) for word in words]
+        owner = np.repeat(np.arange(len(words)), [len(ws) for ws in cut])
+        return self.alphabet.codes([w for ws in cut for w in ws]), owner
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of every word: its best window's; the bias alone for words without windows."""
-        cut = [windows(word) for word in words]
-        flat = [w for ws in cut for w in ws]
-        best = np.zeros(len(words))
-        if flat:
-            values = weigh(self.alphabet.codes(flat), self.table)
-            owner = np.repeat(np.arange(len(words)), [len(ws) for ws in cut])
-            best[:] = -np.inf
-            np.maximum.at(best, owner, values)
-            best[~np.isfinite(best)] = 0.0
+        return self.margins_of(*self.cut(words), len(words))
+
+    def margins_of(self, codes: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+        best = np.zeros(words)
+        if len(owner):
+            # windows come in the order of their words
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best[owner[first]] = np.maximum.reduceat(weigh(codes, self.table), first)
         return best + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -191,13 +198,13 @@ def calibrate(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def _text_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         words = [sorted({_NOISE.sub("", w) for w in raw_words(text or "")} - {""}) for text in batch["text"]]
-        yield pd.DataFrame({"toxic": batch["toxic"], "part": batch["part"], "words": words})
+        yield pd.DataFrame({"toxic": batch["toxic"], "part": batch["part"], "words": [" ".join(w) for w in words]})
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for toxic, words in zip(batch["toxic"], batch["words"]):
-            grams = {w[at : at + n] for w in words for n in GRAMS for at in range(len(w) - n + 1)}
+            grams = {w[at : at + n] for word in words.split() for w in [f"^{word}$"] for n in GRAMS for at in range(len(w) - n + 1)}
             yield pd.DataFrame({"gram": sorted(grams), "toxic": toxic})
 
 
@@ -210,7 +217,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> Data
         some = known.filter(F.col("toxic") == kind).withColumn("part", F.pmod(mixed, F.lit(4)).cast("int")).orderBy(mixed, "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "part", "text")
-    return texts.mapInPandas(_text_words, "toxic int, part int, words array<string>")
+    return texts.mapInPandas(_text_words, "toxic int, part int, words string")
 
 
 def choose_landmarks(words: DataFrame, texts: tuple[int, int], wanted: int = LANDMARKS) -> list[str]:
@@ -229,7 +236,7 @@ def choose_landmarks(words: DataFrame, texts: tuple[int, int], wanted: int = LAN
         seen = F.col(column) if has else F.lit(size) - F.col(column)
         expected = (F.col("a") + F.col("b") if has else F.lit(all_texts) - F.col("a") - F.col("b")) * F.lit(size / all_texts)
         g2 = g2 + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-    scored = counts.withColumn("g2", g2).withColumn("for", F.col("a") * F.lit(clean) > F.col("b") * F.lit(toxic))
+    scored = materialize(counts, "grams").withColumn("g2", g2).withColumn("for", F.col("a") * F.lit(clean) > F.col("b") * F.lit(toxic))
     picked: list[str] = []
     for side, share in ((True, wanted * 3 // 4), (False, wanted)):
         rows = scored.filter(F.col("for") == side).orderBy(F.desc("g2"), F.length("gram").desc(), "gram").limit(wanted * 20).collect()
@@ -249,8 +256,9 @@ def _overlap(a: str, b: str) -> bool:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Machine | float:
     """The machine, or the share of toxic labels when a class is missing."""
-    words = _sample(docs, labels, sample)
-    rows = words.collect()
+    words = materialize(_sample(docs, labels, sample), "labelled-words")
+    # the same order whatever the partitions were
+    rows = sorted(words.collect(), key=lambda r: (r["toxic"], r["part"], r["words"]))
     toxic = np.array([r["toxic"] for r in rows], dtype=bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return float(toxic.mean()) if len(rows) else 0.0
@@ -261,33 +269,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     if not landmarks:
         return float(toxic.mean())
     machine = Machine(landmarks)
-    vocabulary = sorted({w for r in rows for w in r["words"]})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    texts = [np.array([number[w] for w in r["words"]], dtype=np.int64) for r in rows]
+    number: dict[str, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in r["words"].split()], dtype=np.int64) for r in rows]
+    vocabulary = list(number)
+    del rows, number
     use = part > 0
+    codes, owner = machine.cut(vocabulary)
     # at first a word is as good as the best landmark it holds
-    margins = np.array([max((1.0 - at / len(landmarks) for at, mark in enumerate(landmarks) if mark in w), default=0.0) for w in vocabulary])
-    against: set[str] = set()
+    worth = {mark: 1.0 - at / len(landmarks) for at, mark in enumerate(landmarks)}
+    held = lambda w: max((worth.get(w[at : at + n], 0.0) for n in GRAMS for at in range(len(w) - n + 1)), default=0.0)
+    margins = np.array([held(f"^{w}$") for w in vocabulary])
+    against = np.empty(0, dtype=np.int64)
     for _ in range(ROUNDS):
-        witnesses = []
-        for words_, is_toxic, fitted in zip(texts, toxic, use):
-            if fitted and len(words_):
-                best = words_[np.argsort(-margins[words_], kind="stable")[: 1 if is_toxic else 3]]
-                if is_toxic:
-                    witnesses.append(machine.best_window(vocabulary[best[0]]))
-                else:
-                    against.update(machine.best_window(vocabulary[i]) for i in best)
-        strings = [*witnesses, *sorted(against)]
-        y = np.array([1.0] * len(witnesses) + [-1.0] * len(against))
-        if (y > 0).any() and (y < 0).any():
-            cost = np.where(y > 0, 5.0 * len(y) / (y > 0).sum(), 5.0 * len(y) / (y < 0).sum())
-            machine.set(*fit_linear(machine.features(strings), y, cost))
-        margins = machine.margins(vocabulary)
+        # the windows that stand for a word: the best ones of toxic texts, the three best words' of clean ones
+        order = np.lexsort((-weigh(codes, machine.table), owner))
+        window_of = np.full(len(vocabulary), -1)
+        window_of[owner[order][::-1]] = order[::-1]
+        best = [t[np.argsort(-margins[t], kind="stable")[: 1 if is_toxic else 3]] for t, is_toxic, fitted in zip(texts, toxic, use) if fitted]
+        sides = toxic[use]
+        picked = lambda side: window_of[np.concatenate([b for b, s in zip(best, sides) if s == side] or [[]]).astype(np.int64)]  # noqa: B023, E731
+        witnesses, others = picked(True), picked(False)
+        witnesses, against = witnesses[witnesses >= 0], np.union1d(against, others[others >= 0])
+        if len(witnesses) and len(against):
+            y = np.r_[np.ones(len(witnesses)), -np.ones(len(against))]
+            cost = np.where(y > 0, 5.0 * len(y) / len(witnesses), 5.0 * len(y) / len(against))
+            machine.set(*fit_linear(machine.features(codes[np.r_[witnesses, against]]), y, cost))
+        margins = machine.margins_of(codes, owner, len(vocabulary))
     best = np.array([margins[t].max() if len(t) else machine.bias for t in texts])
     # the part that wasn't fitted calibrates, if it has enough of both classes
-    judge = ~use if min(toxic[~use].sum(), (~toxic[~use]).sum()) >= 30 else np.ones(len(rows), dtype=bool)
+    judge = ~use if min(toxic[~use].sum(), (~toxic[~use]).sum()) >= 30 else np.ones(len(texts), dtype=bool)
     machine.slope, machine.offset = calibrate(best[judge], toxic[judge])
-    del machine.basis
+    del machine.basis, machine.rows, machine.whiten
     return machine
 
 
@@ -306,9 +318,7 @@ def score(docs: DataFrame, model: Machine | float, out: str = "score") -> DataFr
             if len(known) + len(new) > CACHE:
                 known = {}
                 new = list({w for words in cut for w in words})
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                known.update(zip(some, machine.margins(some).tolist()))
+            known.update(zip(new, machine.margins(new).tolist()))
             yield pd.Series(machine.probability(np.array([max(map(known.__getitem__, words), default=machine.bias) for words in cut], dtype=float)))
 
     return docs.withColumn(out, of("text"))
