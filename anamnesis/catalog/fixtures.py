@@ -41,19 +41,19 @@ class Tables:
 
     @cached_property
     def units(self) -> DataFrame:
+        """One unit per document; every event belongs to one unit, whose time is its latest event's."""
         docs, events, vectors = self.read("documents"), self.events, self.read("embeddings")
         n_docs, n_events, n_vectors = (df.agg(F.count("*")).scalar() for df in (docs, events, vectors))
         i, ts = F.col("unit_id"), F.col("ts")
-        base = vectors.select(
-            F.col("vec_id").alias("unit_id"),
-            "embedding",
-            "label",
-            (F.col("vec_id") % n_docs).alias("doc_id"),
-            (F.col("vec_id") * F.floor(n_events / n_vectors)).alias("event_id"),
+        slots = F.least(n_docs, n_events)
+        latest = events.groupBy((F.col("event_id") % slots).alias("slot")).agg(
+            F.max_by("ts", "event_id").alias("ts"), F.max_by("event_type", "event_id").alias("event_type")
         )
         return (
-            base.join(docs.select("doc_id", "text", "source"), "doc_id")
-            .join(events.select("event_id", "ts", "event_type"), "event_id")
+            docs.select(F.col("doc_id").alias("unit_id"), "text", "source")
+            .withColumns({"vec_id": i % n_vectors, "slot": i % slots})
+            .join(vectors.select("vec_id", "embedding", "label"), "vec_id")
+            .join(latest, "slot")
             .select(
                 "unit_id",
                 (i % BANKS).alias("bank_id"),
@@ -82,7 +82,7 @@ class Tables:
             self.read("supplier")
             .select("s_suppkey", "s_name", "s_acctbal", banks.alias("bank_id"))
             .select(
-                (F.col("bank_id") * 1_000_000 + F.col("s_suppkey")).alias("entity_id"),
+                (F.col("s_suppkey") * BANKS + F.col("bank_id")).alias("entity_id"),
                 "bank_id",
                 F.col("s_name").alias("canonical_name"),
                 F.col("s_acctbal").alias("balance"),
@@ -91,12 +91,16 @@ class Tables:
 
     @cached_property
     def unit_entities(self) -> DataFrame:
-        ids = self.read("embeddings").select(F.col("vec_id").alias("unit_id"))
-        lines = self.read("lineitem").select(
-            F.col("l_orderkey").alias("unit_id"),
-            ((F.col("l_orderkey") % BANKS) * 1_000_000 + F.col("l_suppkey")).alias("entity_id"),
+        """Every order names the supplier of its dearest line to one unit."""
+        dearest = F.struct(-F.col("l_extendedprice"), "l_linenumber", "l_suppkey")
+        unit = F.col("l_orderkey") % self.read("documents").agg(F.count("*")).scalar()
+        return (
+            self.read("lineitem")
+            .groupBy("l_orderkey")
+            .agg(F.min_by("l_suppkey", dearest).alias("supplier"))
+            .select(unit.alias("unit_id"), (F.col("supplier") * BANKS + unit % BANKS).alias("entity_id"))
+            .distinct()
         )
-        return lines.join(ids, "unit_id", "left_semi").distinct()
 
     @cached_property
     def obs_sources(self) -> DataFrame:
@@ -121,12 +125,14 @@ class Tables:
 
     @cached_property
     def models(self) -> DataFrame:
-        """Summaries of the entities whose balance is not negative."""
-        n = self.read("embeddings").agg(F.count("*")).scalar()
+        """Summaries of the entities that as many units name as name an entity on average, or more."""
+        named = self.unit_entities.groupBy("entity_id").agg(F.count("*").alias("named"))
+        usual = named.agg(F.avg("named")).scalar()
+        n = self.read("documents").agg(F.count("*")).scalar()
         units = self.units.select("unit_id", "embedding", "created_at")
         e = F.col("entity_id")
         return (
-            self.entities.filter(F.col("balance") >= 0)
+            self.entities.join(named.filter(F.col("named") >= usual), "entity_id")
             .withColumn("unit_id", e % n)
             .join(units, "unit_id")
             .select(
@@ -223,25 +229,26 @@ class Tables:
 
 VIEWS = {
     "fx_units": """
-select e.vec_id as unit_id, e.vec_id % 5 as bank_id, e.vec_id // 25 as batch_id, d.text as text, d.source as context,
+select d.doc_id as unit_id, d.doc_id % 5 as bank_id, d.doc_id // 25 as batch_id, d.text as text, d.source as context,
  e.embedding as embedding,
  case when e.label <= 3 then 'world' when e.label <= 6 then 'experience' else 'observation' end as fact_type,
- case when e.vec_id % 4 = 0 then 'conversation' else 'event' end as fact_kind,
- case when e.vec_id % 4 = 0 then null else v.ts end as event_date,
- case when e.vec_id % 3 = 0 then v.ts else null end as occurred_start,
- case when e.vec_id % 6 = 0 then v.ts + interval '36' hour else null end as occurred_end,
+ case when d.doc_id % 4 = 0 then 'conversation' else 'event' end as fact_kind,
+ case when d.doc_id % 4 = 0 then null else v.ts end as event_date,
+ case when d.doc_id % 3 = 0 then v.ts else null end as occurred_start,
+ case when d.doc_id % 6 = 0 then v.ts + interval '36' hour else null end as occurred_end,
  v.ts + interval '30' minute as mentioned_at, v.ts + interval '1' hour as created_at, v.event_type as tag
-from embeddings e
- cross join (select count(*) n from documents) nd cross join (select count(*) n from events) ne
- cross join (select count(*) n from embeddings) nv
- join documents d on d.doc_id = e.vec_id % nd.n
- join events v on v.event_id = e.vec_id * (ne.n // nv.n)""",
+from documents d
+ join embeddings e on e.vec_id = d.doc_id % (select count(*) from embeddings)
+ join (select event_id % (select least((select count(*) from documents), (select count(*) from events))) as slot, arg_max(ts, event_id) as ts,
+  arg_max(event_type, event_id) as event_type from events group by 1) v
+  on v.slot = d.doc_id % (select least((select count(*) from documents), (select count(*) from events)))""",
     "fx_entities": """
-select b.bank_id * 1000000 + s.s_suppkey as entity_id, b.bank_id as bank_id, s.s_name as canonical_name, s.s_acctbal as balance
+select s.s_suppkey * 5 + b.bank_id as entity_id, b.bank_id as bank_id, s.s_name as canonical_name, s.s_acctbal as balance
 from supplier s cross join (select unnest(range(5)) as bank_id) b""",
     "fx_unit_entities": """
-select distinct l.l_orderkey as unit_id, (l.l_orderkey % 5) * 1000000 + l.l_suppkey as entity_id
-from lineitem l join embeddings e on e.vec_id = l.l_orderkey""",
+select distinct l_orderkey % n as unit_id, l_suppkey * 5 + l_orderkey % n % 5 as entity_id from (
+ select l_orderkey, l_suppkey, (select count(*) from documents) as n,
+  row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_suppkey) as rn from lineitem) where rn = 1""",
     "fx_obs_sources": """
 select o.unit_id as obs_id, u.unit_id as source_id from fx_units o join fx_units u on u.bank_id = o.bank_id
  and u.unit_id between o.unit_id - 25 and o.unit_id - 1 and u.fact_type <> 'observation'
@@ -254,8 +261,9 @@ select e.entity_id as model_id, e.bank_id as bank_id, e.entity_id as entity_id,
  m.embedding as embedding, m.created_at as created_at,
  case when e.entity_id % 8 = 0 then 'q' else null end as source_query, e.entity_id % 3 = 0 as refresh_after_consolidation,
  case when e.entity_id % 5 = 0 then null else m.created_at end as last_refreshed_at
-from fx_entities e cross join (select count(*) n from embeddings) nv join fx_units m on m.unit_id = e.entity_id % nv.n
-where e.balance >= 0""",
+from fx_entities e join fx_units m on m.unit_id = e.entity_id % (select count(*) from documents)
+ join (select entity_id, count(*) as named from fx_unit_entities group by 1) x on x.entity_id = e.entity_id
+where x.named >= (select count(*) / count(distinct entity_id) from fx_unit_entities)""",
     "fx_queries": """
 select b.item_id as query_id, b.item_id % 5 as bank_id, b.text as text, e.embedding as embedding,
  timestamp '2024-01-01 00:00:00' + (b.item_id % 25) * interval '1' day as range_start,
@@ -277,7 +285,7 @@ select user_id % 10 as device_id, ts, event_id as seq, event_type in ('click','v
 NEEDS = {
     "fx_obs_sources": ["fx_units"],
     "fx_unit_tags": ["fx_units"],
-    "fx_models": ["fx_units", "fx_entities"],
+    "fx_models": ["fx_units", "fx_entities", "fx_unit_entities"],
 }
 
 

@@ -209,7 +209,7 @@ def _dates_us():
 
 @query(
     "obs_update",
-    """select o.unit_id, md5(max_by(f.text, f.unit_id)) as text_md5,
+    """select o.unit_id, md5(max_by(f.text, (f.created_at, f.unit_id))) as text_md5,
  cast(epoch_us(least(o.occurred_start, min(f.occurred_start))) as bigint) as start_us,
  cast(epoch_us(greatest(o.occurred_end, max(f.occurred_end))) as bigint) as end_us,
  cast(epoch_us(greatest(o.mentioned_at, max(f.mentioned_at))) as bigint) as mentioned_us, count(*) as changes,
@@ -228,13 +228,14 @@ def _obs_update(t: Tables):
 
 @query(
     "obs_history",
-    """select d.learning_id as obs_id, d.fact_id as source_id, md5(o.text) as previous_md5
-from fx_decided d join fx_units o on o.unit_id = d.learning_id""",
+    """select d.learning_id as obs_id, d.fact_id as source_id,
+ md5(coalesce(lag(f.text) over (partition by d.learning_id order by f.created_at, d.fact_id), o.text)) as previous_md5
+from fx_decided d join fx_units o on o.unit_id = d.learning_id join fx_units f on f.unit_id = d.fact_id""",
     ("fx_decided",),
 )
 def _obs_history(t: Tables):
-    _, actions = _decided(t)
-    return consolidate.history(t.units, actions, as_of()).select(
+    facts, actions = _decided(t)
+    return consolidate.history(t.units, actions, facts, as_of()).select(
         "obs_id", "source_id", F.md5("previous_text").alias("previous_md5")
     )
 
@@ -385,7 +386,8 @@ def _evidence_validate(t: Tables):
 
 @query(
     "reflect_lookup",
-    f"""select query_id, 'model' as tier, model_id as id, similarity from ({ranked_sql("fx_probes", "fx_models", "model_id", 0.1, 5)})
+    f"""select query_id, 'model' as tier, model_id as id, similarity from ({ranked_sql("fx_probes", "fx_models", "model_id", 0.1, 5,
+    "u.model_id % 7 <> 0 and u.model_id % 2 = 0 and not u.refresh_after_consolidation")})
 union all select query_id, 'observation', unit_id, similarity from ({ranked_sql("fx_probes", "fx_units", "unit_id", 0.1, 20,
     "u.fact_type = 'observation' and u.unit_id % 7 <> 0 and u.unit_id % 2 = 0")})
 union all select query_id, 'fact', unit_id, similarity from ({ranked_sql("fx_probes", "fx_units", "unit_id", 0.1, 30,
@@ -393,6 +395,9 @@ union all select query_id, 'fact', unit_id, similarity from ({ranked_sql("fx_pro
     ("fx_probes", "fx_units", "fx_models"),
 )
 def _reflect_lookup(t: Tables):
+    m = F.col("model_id")
+    tagged = t.models.withColumn("tags", F.when(m % 7 != 0, F.array(F.when(m % 2 == 0, "lang_a").otherwise("lang_b"))))
+    excluded = t.models.filter("refresh_after_consolidation").select("model_id")
     return reflect.reflect_lookup(
-        t.probes, t.tagged_units, t.obs_sources, t.models, as_of(), ["lang_a"], "any_strict"
+        t.probes, t.tagged_units, t.obs_sources, tagged, as_of(), ["lang_a"], "any_strict", excluded
     )

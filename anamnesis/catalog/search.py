@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from anamnesis.catalog import query
 from anamnesis.catalog.fixtures import AS_OF, Tables, add_view, as_of, sim_sql
 from anamnesis.catalog.functions import BEST_DATE_SQL, bigrams_sql
-from anamnesis.operators import search, temporal
-from anamnesis.operators.order import top
+from anamnesis.operators import consolidate, search, temporal
 
 
 def ranked_sql(queries: str, units: str, uid: str, threshold: float, k: int, where: str = "true", per: str = "") -> str:
@@ -275,6 +274,5 @@ from fx_units where fact_type <> 'observation') where rn <= 10""",
     ("fx_units",),
 )
 def _unconsolidated(t: Tables):
-    facts = t.units.filter(F.col("fact_type").isin("world", "experience")).select("bank_id", "unit_id", "created_at")
-    oldest = top(facts, ["bank_id"], [F.asc("created_at"), F.asc("unit_id")], 10)
-    return oldest.select("bank_id", "unit_id", F.col("rn").cast("bigint").alias("rn"))
+    waiting = t.units.withColumn("consolidated_at", F.lit(None).cast("timestamp"))
+    return consolidate.unconsolidated(waiting).select("bank_id", "unit_id", F.col("rn").cast("bigint").alias("rn"))

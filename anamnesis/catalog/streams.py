@@ -106,7 +106,7 @@ def _stream_chunks(t: Tables):
 def _contents(t: Tables) -> DataFrame:
     """Every turn of a conversation is one retain call."""
     return t.read("conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"),
+        (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("call_id"),
         (F.col("conv_id") % 5).alias("bank_id"),
         "text",
         F.col("role").alias("context"),

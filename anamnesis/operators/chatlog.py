@@ -163,16 +163,14 @@ def transcript(messages: DataFrame, n: int = LAST_MESSAGES) -> DataFrame:
     return recent.groupBy("conv_id").agg(_joined(F.collect_list(line), "\n").alias("transcript"))
 
 
-def context_build(records: DataFrame, max_tokens: int = CONTEXT_TOKENS, detailed: bool = True, n: int = 100) -> DataFrame:
+def context_build(records: DataFrame, max_tokens: int = CONTEXT_TOKENS, detailed: bool = True) -> DataFrame:
     """(query_id, context): the found memories as one text within a token limit.
 
-    ``records(query_id, rank, role, content, stamp, turn)`` are the memories a
-    search found; a query brings at most ``n`` of them, best rank first.
+    ``records(query_id, rank, role, content, stamp, turn)`` are the memories a search found, as many as it returned.
     """
     stamp = F.col("stamp") if detailed else None
     line = chat.context_line(F.col("role"), F.col("content"), stamp)
-    found = top(records, ["query_id"], [F.asc("rank")], n).select("query_id", "turn", line.alias("content"))
-    # at most n lines a query
+    found = records.select("query_id", "turn", line.alias("content"))
     lines = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("turn", "content"))).alias("_lines"))
     return lines.select("query_id", chat.packed_context(F.col("_lines.content"), max_tokens).alias("context"))
 

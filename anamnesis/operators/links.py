@@ -18,9 +18,11 @@ ENTITY_PER_UNIT = 50
 NO_ENTITY = -1
 MIN_EDGE_WEIGHT = 0.1
 EDGES_PER_TYPE = 20
-# One retain call stores a handful of facts; a larger batch is a data error.
-CALL_FACTS = 50
 SLICE_SECONDS = 60
+# unit ids of one time that share a window
+UNITS_PER_SLICE = 1 << 16
+# rows of one call that meet all rows of the call in one task
+CALL_SLICE = 1_000
 
 
 def _edge(frm: str, to: str, kind: str, weight: Column, entity: Column | None = None) -> list[Column]:
@@ -55,14 +57,18 @@ def new_edges(edges: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _within_call(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Pairs (u, o) of different units stored by the same retain call."""
-    size = F.count("*").over(Window.partitionBy("bank_id", "batch_id", *extra))
-    checked = rows.withColumn("_size", size)
-    too_large = F.raise_error(F.lit(f"a retain call holds more than {CALL_FACTS} facts")).cast("boolean")
-    checked = checked.filter(F.when(F.col("_size") > CALL_FACTS, too_large).otherwise(F.lit(True))).drop("_size")
-    left = checked.select("bank_id", "batch_id", *extra, *[F.col(c).alias(f"u_{c}") for c in _payload(rows, extra)])
-    right = checked.select("bank_id", "batch_id", *extra, *[F.col(c).alias(f"o_{c}") for c in _payload(rows, extra)])
-    return left.join(right, ["bank_id", "batch_id", *extra]).filter("u_unit_id <> o_unit_id")
+    """Pairs (u, o) of different units stored by the same retain call.
+
+    The rows of a large call are dealt out over slices, each of which meets the whole call.
+    """
+    keys = ["bank_id", "batch_id", *extra]
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / CALL_SLICE).alias("_slices"))
+    sized = rows.join(sizes, keys)
+    slice_of = F.pmod(F.xxhash64("unit_id"), F.col("_slices"))
+    left = sized.select(*keys, slice_of.alias("_slice"), *[F.col(c).alias(f"u_{c}") for c in _payload(rows, extra)])
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))
+    right = sized.select(*keys, every.alias("_slice"), *[F.col(c).alias(f"o_{c}") for c in _payload(rows, extra)])
+    return left.join(right, [*keys, "_slice"]).drop("_slice").filter("u_unit_id <> o_unit_id")
 
 
 def _payload(rows: DataFrame, extra: list[str]) -> list[str]:
@@ -95,6 +101,8 @@ def temporal_links(units: DataFrame, stored: DataFrame | None = None) -> DataFra
         time_block("at", SLICE_SECONDS),
         F.when(F.col("side") == 0, 1).otherwise(0),
         "pos",
+        # a bank may have any number of units of one time
+        [F.col("at"), F.col("side"), F.floor(F.col("unit_id") / UNITS_PER_SLICE)],
     )
     candidates = placed.filter("side = 0").select(
         "bank_id", "pos", F.col("unit_id").alias("o_unit_id"), F.col("batch_id").alias("o_batch_id"), F.col("at").alias("o_at")
@@ -149,11 +157,14 @@ def entity_links(units: DataFrame, unit_entities: DataFrame, stored: DataFrame |
     cols = ["bank_id", "batch_id", "unit_id", "created_at"]
     mine = unit_entities.join(units.select(*cols), "unit_id")
     pool = mine if stored is None else unit_entities.join(stored.select(*cols), "unit_id")
-    # The newest units are ranked before they are paired: an entity of any size
-    # offers a fixed number of partners.  CALL_FACTS more than needed are kept
-    # because a unit skips the partners from its own call.
+    # Units are ranked before they are paired, so an entity of any size offers a fixed number of partners.  A call
+    # can give another one its newest ENTITY_PER_UNIT units at most; of twice as many of these, at most half are a
+    # unit's own call's, and the others hold its newest partners.
+    per_call = top(
+        pool, ["entity_id", "bank_id", "batch_id"], [F.desc("created_at"), F.desc("unit_id")], ENTITY_PER_UNIT, "place"
+    ).drop("place")
     offered = top(
-        pool, ["entity_id"], [F.desc("created_at"), F.desc("unit_id")], ENTITY_PER_UNIT + CALL_FACTS, "place"
+        per_call, ["entity_id"], [F.desc("created_at"), F.desc("unit_id")], 2 * ENTITY_PER_UNIT, "place"
     ).select(
         "entity_id",
         "place",

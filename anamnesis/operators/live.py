@@ -28,7 +28,8 @@ def clean_comments(comments: DataFrame) -> DataFrame:
 def dedup_comments(comments: DataFrame) -> DataFrame:
     """First comment of every id; comments without id all pass."""
     identified = comments.filter(F.col("comment_id").isNotNull())
-    first = F.min_by(F.struct(*[c for c in comments.columns if c != "comment_id"]), F.struct("ts")).alias("_first")
+    others = [c for c in comments.columns if c not in ("comment_id", "ts")]
+    first = F.min(F.struct("ts", *others)).alias("_first")
     kept = identified.groupBy("comment_id").agg(first).select("comment_id", "_first.*")
     return kept.select(*comments.columns).unionByName(comments.filter(F.col("comment_id").isNull()))
 

@@ -65,20 +65,27 @@ def with_run(
 
 
 def with_running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, name: str, slices: Sequence[Column] = ()
 ) -> DataFrame:
-    """Add ``name``: sum of ``value`` over the key up to and including the row."""
-    rows = df.withColumn("_block", block).withColumn("_value", value)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_carried"))
-    return (
-        rows.withColumn("_inside", F.sum("_value").over(inside))
-        .join(carried, [*keys, "_block"])
-        .withColumn(name, F.col("_inside") + F.col("_carried"))
-        .drop("_block", "_value", "_inside", "_carried")
-    )
+    """Add ``name``: sum of ``value`` over the key up to and including the row.
+
+    ``slices`` cut a block further where one value of the order can have any number of rows: sorted by these columns,
+    a block is in its order, and only rows that agree in all of them meet in a window.
+    """
+    cut = [f"_slice{i}" for i in range(len(slices))]
+    rows = df.withColumns({"_block": block, "_value": value} | dict(zip(cut, slices, strict=True)))
+    before = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy(*keys, "_block", *cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(*keys, "_block", *cut).agg(F.sum("_value").alias("_sum"))
+    sums = parts.groupBy(*keys, "_block").agg(F.sum("_sum").alias("_sum"))
+    carried = sums.select(*keys, "_block", before(Window.partitionBy(*keys).orderBy("_block")).alias("_carried"))
+    out = rows.withColumn("_inside", F.sum("_value").over(inside)).join(carried, [*keys, "_block"])
+    total = F.col("_inside") + F.col("_carried")
+    if cut:
+        within = Window.partitionBy(*keys, "_block").orderBy(*cut)
+        out = out.join(parts.select(*keys, "_block", *cut, before(within).alias("_earlier")), [*keys, "_block", *cut])
+        total = total + F.col("_earlier")
+    return out.withColumn(name, total).drop("_block", "_value", "_inside", "_earlier", "_carried", *cut)
 
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:

@@ -67,9 +67,13 @@ def reflect_lookup(
     as_of: Column,
     wanted: Sequence[str] | None = None,
     mode: str = "any",
+    exclude_models: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, tier, id, similarity): summaries, then observations, then raw facts."""
-    from_models = search.search_models(queries, models, as_of, wanted=None)
+    """(query_id, tier, id, similarity): summaries, then observations, then raw facts, all under the same tags.
+
+    ``exclude_models(model_id)`` are summaries not to use, such as the one being refreshed.
+    """
+    from_models = search.search_models(queries, models, as_of, exclude_models, wanted, mode)
     from_observations = search.search_observations(queries, units, sources, wanted, mode)
     from_facts = search.search_facts(queries, units, wanted, mode)
     return (

@@ -13,30 +13,31 @@ from anamnesis.functions.text import embedding_text
 from anamnesis.operators import dedup, entities, links
 from anamnesis.session import materialize
 
-# room for the facts of one call in the id order
-FACTS_PER_CALL = 1_000_000
+# room for the facts of one call in the id order; a product that leaves 64 bits is an error, not a wrong id
+FACTS_PER_CALL = 1 << 24
 
 
 @dataclass(frozen=True)
 class Retained:
-    """What one batch of retain calls adds."""
+    """What one batch of retain calls adds: units, their entities, entities not known before, links of all kinds,
+    co-occurrence counts, mentions of entities by call, and (bank_id, stored, duplicates)."""
 
     units: DataFrame
     unit_entities: DataFrame
     new_entities: DataFrame
+    links: DataFrame
+    cooccurrences: DataFrame
+    mentions: DataFrame
     counts: DataFrame
 
 
 def facts_of(contents: DataFrame, as_of: Column, extractor=None, embedder=hooks.hashed_words) -> DataFrame:
-    """Valid facts with ids in arrival order, and their embeddings.
-
-    A content that yields more than CALL_FACTS facts counts as several calls.
-    """
+    """Valid facts with ids in arrival order, and their embeddings."""
     raw = hooks.sentence_facts(contents) if extractor is None else hooks.extract_facts(contents, extractor)
     facts = validate_facts(raw).select(
         (F.col("call_id") * FACTS_PER_CALL + F.col("pos")).alias("unit_id"),
         "bank_id",
-        (F.col("call_id") * FACTS_PER_CALL + F.floor(F.col("pos") / links.CALL_FACTS)).alias("batch_id"),
+        F.col("call_id").alias("batch_id"),
         "text",
         F.nullif("context", F.lit("")).alias("context"),
         "fact_type",
@@ -61,8 +62,15 @@ def retain(
     extractor=None,
     embedder=hooks.hashed_words,
     threshold: float = dedup.THRESHOLD,
+    stored_entities: DataFrame | None = None,
+    link_threshold: float = links.SEMANTIC_THRESHOLD,
 ) -> Retained:
-    """Extract, embed, drop near-duplicates and resolve the names of each call."""
+    """Extract, embed, drop near-duplicates, resolve the names of each call, link and count.
+
+    ``stored_units``, ``stored_entities`` (their bridge) and ``known_entities`` are what earlier batches left.
+    ``mentions(entity_id, batch_id, at)`` updates the entities by ``entities.entity_mentions``, the co-occurrences are
+    added to stored ones by ``entities.merge_cooccurrence``.
+    """
     facts = materialize(facts_of(contents, as_of, extractor, embedder), "facts")
     old = None if stored_units is None else stored_units
     kept = materialize(dedup.keep_new(facts, old, threshold), "kept")
@@ -77,8 +85,20 @@ def retain(
         company = spark.createDataFrame([], "entity_id bigint, company string")
     mentions = kept.select(F.col("unit_id").alias("call_id"), "bank_id", F.explode("who").alias("name"), "event_date")
     resolved = entities.resolve_entities(mentions, known_entities, company)
-    bridge = resolved.select(F.col("call_id").alias("unit_id"), "entity_id").distinct()
-    return Retained(kept, bridge, entities.create_entities(resolved, as_of), counts)
+    bridge = materialize(resolved.select(F.col("call_id").alias("unit_id"), "entity_id").distinct(), "bridge")
+    old_units = kept.limit(0) if old is None else old.select(kept.columns)
+    old_bridge = bridge.limit(0) if stored_entities is None else stored_entities.select("unit_id", "entity_id")
+    edges = link(kept, bridge.unionByName(old_bridge), old_units, link_threshold)
+    named = bridge.join(kept.select("bank_id", "batch_id", "unit_id", F.col("mentioned_at").alias("at")), "unit_id")
+    return Retained(
+        kept,
+        bridge,
+        entities.create_entities(resolved, as_of),
+        edges,
+        entities.cooccurrence(named),
+        named.select("entity_id", "batch_id", "at").distinct(),
+        counts,
+    )
 
 
 def link(retained: DataFrame, unit_entities: DataFrame, stored: DataFrame, threshold: float = links.SEMANTIC_THRESHOLD) -> DataFrame:

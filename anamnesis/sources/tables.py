@@ -65,10 +65,11 @@ def store(df: DataFrame, path: str, name: str, mode: str = "append") -> None:
     writer.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def load_jdbc(spark: SparkSession, url: str, name: str, partitions: int, **options: str) -> DataFrame:
-    """One table of a database, read in bank_id ranges."""
+def load_jdbc(spark: SparkSession, url: str, name: str, partitions: int, banks: tuple[int, int], **options: str) -> DataFrame:
+    """One table of a database, read in ranges of bank_id; ``banks`` are the least and the largest one."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-    return reader.option("partitionColumn", "bank_id").option("numPartitions", partitions).load()
+    ranged = {"partitionColumn": "bank_id", "lowerBound": str(banks[0]), "upperBound": str(banks[1]), "numPartitions": str(partitions)}
+    return reader.options(**ranged).load()
 
 
 def upsert_latest(stored: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

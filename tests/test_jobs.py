@@ -64,9 +64,58 @@ def test_retain_resolves_and_links(spark):
     done = retain(contents, as_of(), extractor=extractor)
     assert done.counts.collect()[0].asDict() == {"bank_id": 0, "stored": 2, "duplicates": 1}
     assert done.unit_entities.count() == 2 and done.new_entities.count() == 1
-    bridge = done.unit_entities.withColumn("entity_id", F.abs(F.xxhash64("entity_id")))
-    edges = link(done.units, bridge, done.units.limit(0), 0.99)
+    edges = link(done.units, done.unit_entities, done.units.limit(0), 0.99)
     assert {(r.link_type, r.links) for r in links.link_counts(edges).collect()} == {("temporal", 2), ("entity", 2)}
+    assert {r.link_type for r in done.links.collect()} >= {"temporal", "entity"} and done.cooccurrences.count() == 0
+    again = retain(
+        spark.createDataFrame([(2, 0, "sun shines", "")], CONTENTS),
+        as_of(),
+        done.units,
+        done.new_entities,
+        extractor=extractor,
+        stored_entities=done.unit_entities,
+    )
+    assert again.new_entities.count() == 0
+    assert again.links.filter("link_type = 'entity'").count() == 4
+
+
+def test_large_calls_lose_no_links(spark):
+    """All pairs of a call within a day are linked, and other calls' partners are found beside any number of own ones."""
+    none = F.lit(None).cast("timestamp")
+    day = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    units = spark.range(120).select(
+        F.lit(0).cast("bigint").alias("bank_id"),
+        F.when(F.col("id") < 110, 1).otherwise(2).cast("bigint").alias("batch_id"),
+        F.col("id").alias("unit_id"),
+        day.alias("event_date"),
+        none.alias("occurred_start"),
+        none.alias("mentioned_at"),
+        (day + F.expr("make_interval(0, 0, 0, 0, 0, id)")).alias("created_at"),
+    )
+    inside = links.temporal_links(units.filter("batch_id = 1"))
+    assert inside.count() == 110 * 109
+    bridge = units.select("unit_id", F.lit(5).cast("bigint").alias("entity_id"))
+    linked = links.entity_links(units.filter("batch_id = 1"), bridge, units)
+    assert linked.filter("from_unit_id < 110 and to_unit_id < 110").count() == 110 * 109
+    assert linked.filter("from_unit_id < 110 and to_unit_id >= 110").count() == 110 * 10
+    assert links.entity_links(units.filter("batch_id = 2"), bridge, units).filter("from_unit_id >= 110 and to_unit_id < 110").count() == 10 * 50
+
+
+def test_two_observations_of_one_fact_and_a_failed_one(spark):
+    def decide(facts, related):
+        ids = facts.select(F.col("unit_id").alias("fact_id"), F.lit(None).cast("bigint").alias("learning_id"), F.lit("").alias("reason"))
+        failed = F.col("fact_id") == 3
+        twice = F.explode(F.when(failed, F.array(F.lit("x"))).otherwise(F.array(F.lit("one"), F.lit("two"))))
+        rows = ids.withColumn("text", twice).withColumn("action", F.when(failed, "failed").otherwise("create"))
+        return rows.select("fact_id", "action", "text", "learning_id", "reason")
+
+    sources = spark.createDataFrame([], "obs_id bigint, source_id bigint")
+    bridge = spark.createDataFrame([(0, 7)], "unit_id bigint, entity_id bigint")
+    done = consolidate_all(units_for_consolidation(spark), sources, as_of(), decide, per_bank=2, unit_entities=bridge)
+    made = done.units.filter("fact_type = 'observation'").collect()
+    assert len({r.unit_id for r in made}) == 6 and {r.text for r in made} == {"one", "two"}
+    assert {r.unit_id for r in done.units.filter("fact_type = 'world' and consolidated_at is null").collect()} == {3}
+    assert done.entities.filter("entity_id = 7").count() == 2
 
 
 def test_ten_newest_of_eleven(spark):
