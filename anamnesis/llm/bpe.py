@@ -9,8 +9,8 @@ since then, the last token before it, and the tokens decided up to it; reading
 a byte moves all of these at once (a subset construction), closes the one
 token that is compatible with its predecessor, and emits the tokens on which
 all open places agree.  No place stays open longer than the longest token, so
-the lookahead is bounded.  States are built when first reached; the table is
-emptied when it holds ``max_states``, which costs time and changes nothing.
+the lookahead is bounded.  States are built when first reached, ``max_states``
+at most; pieces that need more are read by the same rules without the table.
 
 Decoding: token bytes pass through an incremental UTF-8 decoder whose state is
 the at most three bytes of an unfinished character; its moves are remembered
@@ -26,6 +26,7 @@ from __future__ import annotations
 import array
 import base64
 import codecs
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,10 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Built states, and remembered words, that a worker holds at most.
-MAX_STATES = 250_000
-MAX_WORDS = 300_000
+#: Built states, remembered words and remembered pairs of tokens that a worker holds at most.
+MAX_STATES = 30_000
+MAX_WORDS = 500_000
+MAX_PAIRS = 500_000
 START = -1
+#: Rows a batch that goes back to Spark.
+BATCH = 1_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -52,23 +56,21 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.split: dict[int, tuple] = {}
+        self.pairs: dict[int, bool] = {}
+        # the trie: node and byte -> node, and the token that ends at a node
+        self.child: dict[int, int] = {}
         self.token_at: list[int | None] = [None]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                below = self.children[node]
-                if byte not in below:
-                    below[byte] = len(self.children)
-                    self.children.append({})
+                after = self.child.get(node << 8 | byte)
+                if after is None:
+                    after = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(None)
-                node = below[byte]
-            self.token_at[node] = rank
-        self.split: dict[int, tuple] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
+                node = after
+            if self.stands(rank):
+                self.token_at[node] = rank
         self.state_of: dict[tuple, int] = {}
         self.places: list[tuple] = []
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
@@ -111,7 +113,7 @@ class Transducer:
         The joinings next to their border are undone, latest first: the border is safe if at no time the two parts
         beside it could have been joined before the joining that was undone last.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 20 | right)
         if known is not None:
             return known
         a, b, limit = left, right, len(self.ranks)
@@ -128,18 +130,20 @@ class Transducer:
                 limit, a = a, above[1]
             else:
                 limit, b = b + 1, below[0]
-        self.pairs[left, right] = known
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 20 | right] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         places, closed = [], None
         for node, last, decided in self.places[state]:
-            after = self.children[node].get(byte)
+            after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
             places.append((after, last, decided))
             token = self.token_at[after]
-            if closed is None and token is not None and self.stands(token) and (last == START or self.compatible(last, token)):
+            if closed is None and token is not None and (last == START or self.compatible(last, token)):
                 closed = (0, token, (*decided, token))
         places.append(closed)
         shared = 0
@@ -151,15 +155,70 @@ class Transducer:
         self.moves[state][byte] = move
         return move
 
+    def simulate(self, places: tuple, rest: bytes) -> list[int]:
+        """The tokens that ``places`` still owes after ``rest``, by the same moves without new states."""
+        child, token_at, pairs = self.child, self.token_at, self.pairs
+        opened = []
+        for node, last, decided in places:
+            chain = None
+            for token in decided:
+                chain = (token, chain)
+            opened.append((node, last, chain))
+        for byte in rest:
+            still, closed = [], None
+            for node, last, chain in opened:
+                after = child.get(node << 8 | byte)
+                if after is not None:
+                    still.append((after, last, chain))
+                    if closed is None:
+                        token = token_at[after]
+                        if token is not None:
+                            if last == START:
+                                closed = (0, token, (token, chain))
+                            else:
+                                fits = pairs.get(last << 20 | token)
+                                if self.compatible(last, token) if fits is None else fits:
+                                    closed = (0, token, (token, chain))
+            still.append(closed)
+            opened = still
+        out, chain = [], opened[-1][2]
+        while chain:
+            out.append(chain[0])
+            chain = chain[1]
+        return out[::-1]
+
+    def longest(self, piece: bytes) -> list[int] | None:
+        """The longest token at each place, if all neighbours fit: then no other sequence does."""
+        child, token_at, pairs = self.child, self.token_at, self.pairs
+        out, last, at, size = [], START, 0, len(piece)
+        while at < size:
+            node, best, end = 0, None, at
+            for i in range(at, size):
+                node = child.get(node << 8 | piece[i])
+                if node is None:
+                    break
+                token = token_at[node]
+                if token is not None:
+                    best, end = token, i + 1
+            if last != START:
+                fits = pairs.get(last << 20 | best)
+                if not (self.compatible(last, best) if fits is None else fits):
+                    return None
+            out.append(best)
+            last, at = best, end
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.places) > self.max_states:
-            self.reset()
         state, out, moves = self.first, [], self.moves
-        for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+        for at, byte in enumerate(piece):
+            move = moves[state].get(byte)
+            if move is None:
+                if len(self.places) >= self.max_states:
+                    return self.longest(piece) or out + self.simulate(self.places[state], piece[at:])
+                move = self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
@@ -192,6 +251,11 @@ class StreamDecoder:
         return "".join(out)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(data: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(data).items()}
+
+
 @lru_cache(maxsize=2)
 def transducer(data: bytes) -> Transducer:
     """One transducer a worker process and vocabulary, kept between tasks."""
@@ -205,49 +269,51 @@ def pieces_of(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
 
-class Recent:
-    """Results of the words seen last: two generations of MAX_WORDS / 2; the older one goes when the newer is full."""
-
-    def __init__(self, make, size: int = MAX_WORDS):
-        self.make, self.size, self.new, self.old = make, size // 2, {}, {}
-
-    def __getitem__(self, word: str):
-        found = self.new.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = self.make(word)
-                if len(word) > 100:
-                    return found
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[word] = found
-        return found
+#: White space that ends a text or stands beside other white space.
+_LOOSE = re.compile(r"\s\s|^\s|\s$")
 
 
 def encoder(machine: Transducer, pattern: str):
     """A function from a text to an array of its ids.
 
     A single space between two characters that aren't white space always begins a piece, whatever is around.  So
-    texts are cut there first and each word is cut by the pattern only when it isn't remembered.
+    texts are cut there first and each word is cut by the pattern only when it isn't remembered.  Words are
+    remembered in two generations of MAX_WORDS / 2; the older one goes when the newer is full.
     """
     cut = pieces_of(pattern)
+    new: dict[str, array.array] = {}
+    old: dict[str, array.array] = {}
 
-    def fresh(word: str) -> array.array:
+    def fresh(text: str) -> array.array:
         ids = array.array("i")
-        for piece in cut(word):
+        for piece in cut(text):
             ids.extend(machine.encode(piece.encode()))
         return ids
 
-    words = Recent(fresh)
+    def missing(word: str) -> array.array:
+        nonlocal new, old
+        found = old.get(word)
+        if found is None:
+            found = fresh(" " + word)
+            if len(word) > 100:
+                return found
+        if len(new) >= MAX_WORDS // 2:
+            old, new = new, {}
+        new[word] = found
+        return found
 
     def encode(text: str) -> array.array:
-        first, *others = text.split(" ")
-        if not all(w and not w[0].isspace() and not w[-1].isspace() for w in (first, *others)):
+        if not text or _LOOSE.search(text):
             return fresh(text)
-        ids = array.array("i", words[first])
+        first, *others = text.split(" ")
+        ids = fresh(first)
+        known = new.get
         for word in others:
-            ids.extend(words[" " + word])
+            found = known(word)
+            if found is None:
+                found = missing(word)
+                known = new.get
+            ids.extend(found)
         return ids
 
     return encode
@@ -266,22 +332,32 @@ def _with(schema: T.StructType, name: str, kind: T.DataType, drop: tuple[str, ..
     return T.StructType([f for f in schema.fields if f.name.lower() not in gone] + [T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` without ``drop``, with the token ids of ``text`` as array<int> ``out``."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", drop: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
+    """``docs`` without ``drop``, with the token ids of ``text`` as array<int> ``out``.
+
+    With ``decoded``, the ids are decoded in the same pass, as ``decode`` would do it.
+    """
     data, pattern = vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast(data)
     schema = _with(docs.schema, out, T.ArrayType(T.IntegerType(), False), drop)
     names = schema.names[:-1]
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(transducer(shared.value), pattern)
-        for batch in batches:
-            flat, ends = array.array("i"), array.array("i", [0])
-            for value in batch.column(text):
-                flat.extend(one(value.as_py() or ""))
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, out])
+        one, back = encoder(transducer(shared.value), pattern), StreamDecoder(transducer(shared.value).bytes_of)
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                batch = whole.slice(at, BATCH)
+                flat, ends, texts = array.array("i"), array.array("i", [0]), []
+                for value in batch.column(text):
+                    ids = one(value.as_py() or "")
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    if decoded:
+                        texts.append(back.decode(ids))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, *([pa.array(texts, pa.string())] if decoded else [])], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -294,7 +370,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
     names = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = StreamDecoder(transducer(shared.value).bytes_of)
+        decoder = StreamDecoder(token_bytes(shared.value))
         for batch in batches:
             texts = pa.array([decoder.decode(value.as_py() or ()) for value in batch.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts], [*names, out])
@@ -304,7 +380,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
 
 def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, drop=("text",)), path)
+    coded = encode(docs.select("doc_id", "text"), path, drop=("text",), decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
