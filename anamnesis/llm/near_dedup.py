@@ -12,8 +12,9 @@
    of a group of copies without forming its pairs.
 4. What is left are regions that still hold several components.  Only there
    pairs across components are looked at, in blocks of classes: signatures that
-   agree well enough make a candidate, confirmed on full sets.  Nothing is
-   capped: a region with many small components just makes many blocks.
+   agree well enough make a candidate, confirmed on full sets where the blocks
+   are, unless it is connected already.  Nothing is capped: a region with many
+   small components just makes many blocks.
 
 Any similarity threshold in (0, 1] may be given; DEPTH and TREES fit 0.8 and
 above.  The signature test in step 4 is five standard deviations wide.
@@ -84,10 +85,17 @@ class Shingles:
         return np.unique(mixed)
 
 
+_ROOM = np.empty((128, VALUES), dtype=np.uint64)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     best = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1_024):
-        best = np.minimum(best, (shingles[at : at + 1_024, None] * _FACTORS + _ADDENDS).min(axis=0))
+    for at in range(0, len(shingles), len(_ROOM)):
+        some = shingles[at : at + len(_ROOM), None]
+        room = _ROOM[: len(some)]
+        np.multiply(some, _FACTORS, out=room)
+        np.add(room, _ADDENDS, out=room)
+        np.minimum(best, room.min(axis=0), out=best)
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
@@ -173,34 +181,95 @@ def _confirmed(percent: int):
     return run
 
 
-def _across(percent: int):
+GROUP = ["key", "mixed", "i", "j"]
+
+
+def _in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The block pairs of a partition that is sorted by GROUP, one after the other; each has 2 * BLOCK rows or so."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch[c].to_numpy() for c in GROUP]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        starts = [0, *new.tolist(), len(batch)]
+        if held and any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in GROUP):
+            yield pd.concat(held)
+            held = []
+        for begin, end in zip(starts[:-2], starts[1:-1]):
+            yield pd.concat([*held, batch.iloc[begin:end]]) if held else batch.iloc[begin:end]
+            held = []
+        held.append(batch.iloc[starts[-2] :])
+    if held:
+        yield pd.concat(held)
+
+
+def _candidates(rows: pd.DataFrame, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Of a block pair, the rows with the later rows whose component is another and whose signature agrees well enough.
+
+    A pair that meets in several trees belongs to the first one only.  In a block pair with the region's main
+    component, its members are the partners of the others.
+    """
+    if len(rows) < 2:
+        return []
     wide = percent / 100
     least = (wide - 5 * (wide * (1 - wide) / VALUES) ** 0.5) * VALUES
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair from different components whose signatures agree well enough.
-
-        A pair that meets in several trees is reported by the first one only.
-        """
-        tree, mixed = int(rows["tree"].iloc[0]), bool(key[1])
-        sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, VALUES)
-        cid, comp, n, main = (rows[c].to_numpy() for c in ("cid", "comp", "n", "main"))
-        out_a, out_b = [], []
-        # in a block pair with the region's main component, its members are on the right only
-        lefts = np.flatnonzero(~main) if mixed else np.arange(len(rows))
-        rights = np.flatnonzero(main) if mixed else lefts
-        for i in lefts:
-            other = rights[(comp[rights] != comp[i]) & (100 * np.minimum(n[rights], n[i]) >= percent * np.maximum(n[rights], n[i]))]
-            if not mixed:
-                other = other[cid[other] > cid[i]]
+    tree, mixed = int(rows["tree"].iloc[0]), bool(rows["mixed"].iloc[0])
+    sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, VALUES)
+    cid, comp, n, main = (rows[c].to_numpy() for c in ("cid", "comp", "n", "main"))
+    lefts = np.flatnonzero(~main) if mixed else np.arange(len(rows))
+    rights = np.flatnonzero(main) if mixed else lefts
+    out = []
+    for i in lefts:
+        fits = (comp[rights] != comp[i]) & (100 * np.minimum(n[rights], n[i]) >= percent * np.maximum(n[rights], n[i]))
+        other = rights[fits if mixed else fits & (cid[rights] > cid[i])]
+        if len(other):
             equal = sigs[other] == sigs[i]
             close = equal.sum(axis=1) >= least
-            first = equal[close].reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
-            found = cid[other[close][first]]
-            out_a.append(np.minimum(found, cid[i]))
-            out_b.append(np.maximum(found, cid[i]))
-        empty = np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate(out_a or [empty]), "b": np.concatenate(out_b or [empty])})
+            if close.any():
+                first = equal[close].reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
+                if first.any():
+                    out.append((int(i), other[close][first]))
+    return out
+
+
+def _with_candidates(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of block pairs that are part of a candidate pair."""
+        for rows in _in_groups(batches):
+            found = _candidates(rows, percent)
+            if found:
+                part = sorted({i for i, _ in found}.union(*(others.tolist() for _, others in found)))
+                yield rows.iloc[part][[*GROUP, "tree", "cid", "comp", "main", "sig", "n"]]
+
+    return run
+
+
+def _linked_across(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Confirmed links of block pairs that connect components; candidates that are connected already are left out."""
+        for rows in _in_groups(batches):
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
+            cid, comp = rows["cid"].to_numpy(), rows["comp"].to_numpy()
+            parent = {c: c for c in comp.tolist()}
+
+            def root(c: int) -> int:
+                while parent[c] != c:  # noqa: B023
+                    parent[c] = parent[parent[c]]  # noqa: B023
+                    c = parent[c]  # noqa: B023
+                return c
+
+            out = []
+            for i, others in _candidates(rows, percent):
+                for j in others.tolist():
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a != b:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            parent[a] = b
+                            out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -213,8 +282,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(_confirmed(percent), "a long, b long")
 
 
-def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) across components, of the regions that hold several."""
+def _links_across(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect components, from the regions that hold several.
+
+    First the signatures name the rows of a block pair that have a candidate there; only these get their full sets,
+    and the links are confirmed where the block pair is.  So no pair leaves its task before it is a link.
+    """
     labelled = members.select("tree", "key", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     labelled = materialize(labelled.select("tree", "key", "cid", F.coalesce("root", "cid").alias("comp")), "labelled")
     counts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
@@ -233,7 +306,14 @@ def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent
     beside = f"transform(sequence(0L, n_others - 1), o -> {place.format('true', 'o', 'own')})"
     rows = rows.withColumn("at", F.explode(F.expr(f"if(main, {beside}, concat({among}, {against}))")))
     rows = rows.select("key", "at.mixed", "at.i", "at.j", "tree", "cid", "comp", "main").join(classes.select("cid", "sig", "n"), "cid")
-    return rows.groupBy("key", "mixed", "i", "j").applyInPandas(_across(percent), "a long, b long")
+    kept = ["key long", "mixed boolean", "i long", "j long", "tree int", "cid long", "comp long", "main boolean", "sig binary", "n long"]
+    rows = _dealt(rows).mapInPandas(_with_candidates(percent), ", ".join(kept))
+    rows = materialize(rows, "candidates").join(sets, "cid")
+    return _dealt(rows).mapInPandas(_linked_across(percent), "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "cid")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -261,9 +341,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets = materialize(texts.mapInPandas(_sets(words), "cid long, shingles binary").dropDuplicates(["cid"]), "shingles")
 
     links = materialize(_confirm(pairs, sets, percent), "links")
-    more = _left_over(members, components(links), classes, percent)
-    links = links.unionByName(_confirm(materialize(more, "left-over").distinct(), sets, percent))
-    roots = components(links)
+    more = _links_across(members, components(links), classes, sets, percent)
+    roots = components(links.unionByName(materialize(more, "links-across")))
 
     # the least document of each component of classes
     grouped = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
