@@ -5,9 +5,10 @@ words in a row have a hash, and of every WINDOW neighbouring hashes the least
 is a fingerprint (winnowing), so any GRAM + WINDOW - 1 words of a template that
 a text repeats hold a fingerprint.  The inverted index leads from a fingerprint
 to its templates and places.  Hits of one template on near diagonals make a
-candidate; it is aligned with the text in a band of BAND words around them
-(words replaced, left out and put in cost one each; the text before and after
-is free).  Matches that cover MIN_COVERAGE of a template count; where matches
+candidate; it is aligned with the text in a band from BAND words before its
+first diagonal to BAND words after its last one (words replaced, left out and
+put in cost one each; the text before and after is free), and again without the
+words of each match.  Matches that cover MIN_COVERAGE of a template count; where matches
 overlap, the one with more words stays.
 
 The templates are a parameter: name -> text.  The index is as large as they
@@ -23,7 +24,8 @@ are carried along by ``scan``.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from hashlib import blake2b
 
 import numpy as np
@@ -114,10 +116,11 @@ class Index:
         self.names = sorted(templates)
         self.words = [words_of(templates[name]) for name in self.names]
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.numbers = [np.array([self.number[w] for w in words], dtype=np.int64) for words in self.words]
         self.base = len(self.number) + 1
         self.places: dict[int, list[tuple[int, int]]] = {}
-        for template, words in enumerate(self.words):
-            grams = self.grams(np.array([self.number[w] for w in words], dtype=np.int64)).tolist()
+        for template, numbers in enumerate(self.numbers):
+            grams = self.grams(numbers).tolist()
             mixed = [int.from_bytes(blake2b(str(g).encode(), digest_size=8).digest(), "big") for g in grams]
             for place in winnow(mixed):
                 self.places.setdefault(grams[place], []).append((template, place))
@@ -134,60 +137,85 @@ class Index:
         return np.where(whole, total, -1)
 
 
-def align(template: list[str], text: list[str], diagonal: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(matching words, first and last text word of the matches) of the best alignment with the whole template.
 
-    Word i of the template may meet words diagonal + i - BAND to diagonal + i + BAND of the text.
+    Word i of the template may meet words low + i - BAND to high + i + BAND of the text.  Words are numbers, 0 is for
+    those that match nothing.
     """
-    far = (len(template) + 2 * BAND + 1, 0, 0, 0)
-    width = 2 * BAND + 1
-    # cell: cost, -matches, first, last; row 0 starts anywhere in the band for free
-    row = [(0, 0, -1, -1) if 0 <= diagonal + b - BAND <= len(text) else far for b in range(width)]
+    start, width, one = low - BAND, high - low + 2 * BAND + 1, 1 << 32
+    far, b = np.int64(1 << 60), np.arange(width, dtype=np.int64)
+    words = np.zeros(len(template) + width, dtype=np.int64)
+    words[max(0, -start) : max(0, len(text) - start)] = text[max(0, start) : max(0, start + len(words))]
+    # cell: cost * one - matches; row 0 starts anywhere in the band for free
+    row = np.where((start + b >= 0) & (start + b <= len(text)), 0, far)
+    first, last = np.full(width, -1, dtype=np.int64), np.full(width, -1, dtype=np.int64)
     for i, word in enumerate(template):
-        new = []
-        for b in range(width):
-            at = diagonal + i + b - BAND  # the text word that is taken, so the cell stands after it
-            best = far
-            if 0 <= at < len(text):
-                cost, matches, first, last = row[b]
-                if text[at] == word:
-                    best = (cost, matches - 1, at if first < 0 else first, at)
-                else:
-                    best = (cost + 1, matches, first, last)
-            if b + 1 < width and row[b + 1] is not far:  # the template's word is left out
-                cost, matches, first, last = row[b + 1]
-                best = min(best, (cost + 1, matches, first, last))
-            if b and new[b - 1] is not far and 0 <= at < len(text):  # a word of the text is put in
-                cost, matches, first, last = new[b - 1]
-                best = min(best, (cost + 1, matches, first, last))
-            new.append(best)
-        row = new
-    cost, matches, first, last = min(row)
-    return -matches, first, last
+        at = start + i + b  # the text word that is taken, so the cell stands after it
+        inside, same = (at >= 0) & (at < len(text)), words[i : i + width] == word
+        new = np.where(inside, row + np.where(same, -1, one), far)
+        begin, end = np.where(same & (first < 0), at, first), np.where(same, at, last)
+        left_out = row[1:] + one
+        better = np.append(left_out < new[:-1], False)
+        new[:-1] = np.minimum(new[:-1], left_out)
+        begin[better], end[better] = first[1:][better[:-1]], last[1:][better[:-1]]
+        # words of the text that are put in: the best cell before, and one for each step from it
+        level = new - b * one
+        best = np.minimum.accumulate(level)
+        source = np.where(inside, np.maximum.accumulate(np.where(level == best, b, 0)), b)
+        row, first, last = np.where(inside, best + b * one, new), begin[source], end[source]
+    at = int(np.argmin(row))
+    return int(-row[at] % one), int(first[at]), int(last[at])
+
+
+def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """(diagonal, text word) hits cut where neighbouring diagonals are more than half a band apart."""
+    out: list[list[tuple[int, int]]] = []
+    for hit in sorted(hits):
+        if out and hit[0] - out[-1][-1][0] <= BAND // 2:
+            out[-1].append(hit)
+        else:
+            out.append([hit])
+    return out
+
+
+def _candidates(template: np.ndarray, numbers: np.ndarray, hits: list[tuple[int, int]], min_coverage: float) -> Iterator[tuple[int, int, int]]:
+    """Alignments of a template that cover enough of it, of every chain of its hits."""
+    least, counts = min_coverage * len(template), Counter(template.tolist())
+    waiting = chains(hits)
+    while waiting:
+        chain = waiting.pop()
+        low, high = chain[0][0], chain[-1][0]
+        # no alignment matches more words than the two have in common
+        near = Counter(numbers[max(0, low - BAND) : max(0, high + BAND + len(template))].tolist())
+        if sum(min(n, near[word]) for word, n in counts.items()) < least:
+            continue
+        matches, first, last = align(template, numbers, low, high)
+        if matches < least:
+            continue
+        yield matches, first, last
+        numbers = numbers.copy()
+        numbers[first : last + 1] = 0
+        waiting += chains([hit for hit in chain if not first <= hit[1] <= last])
 
 
 def find(index: Index, text: str, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of the matches in a text, in its order; start and end are characters."""
     words = words_of(text)
     number = index.number
-    grams = index.grams(np.fromiter((number.get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+    numbers = np.fromiter((number.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+    grams = index.grams(numbers)
     hits = np.flatnonzero(np.isin(grams, index.known) & (grams >= 0)) if len(index.known) else ()
     if not len(hits):
         return []
-    diagonals: dict[int, list[int]] = {}
-    for hit in hits:
+    diagonals: dict[int, list[tuple[int, int]]] = {}
+    for hit in hits.tolist():
         for template, place in index.places[int(grams[hit])]:
-            diagonals.setdefault(template, []).append(int(hit) - place)
+            diagonals.setdefault(template, []).append((hit - place, hit))
     found = []
     for template, at in diagonals.items():
-        # hits on diagonals within a band belong to one candidate, tried on its first and last diagonal
-        at = sorted(set(at))
-        starts = [d for i, d in enumerate(at) if i == 0 or d - at[i - 1] > BAND // 2 or i == len(at) - 1]
-        for diagonal in starts:
-            matches, first, last = align(index.words[template], words, diagonal)
-            coverage = matches / len(index.words[template])
-            if coverage >= min_coverage:
-                found.append((matches, coverage, first, last, index.names[template]))
+        for matches, first, last in _candidates(index.numbers[template], numbers, at, min_coverage):
+            found.append((matches, matches / len(index.words[template]), first, last, index.names[template]))
     taken: list[tuple] = []
     for match in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[4])):
         if not any(match[2] <= other[3] and other[2] <= match[3] for other in taken):
