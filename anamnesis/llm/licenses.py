@@ -8,8 +8,11 @@ to its templates and places.  Hits of one template on near diagonals make a
 candidate; it is aligned with the text in a band from BAND words before its
 first diagonal to BAND words after its last one (words replaced, left out and
 put in cost one each; the text before and after is free), and again without the
-words of each match.  Matches that cover MIN_COVERAGE of a template count; where matches
-overlap, the one with more words stays.
+words of each match.  Matches that cover MIN_COVERAGE of a template count if
+the text between their ends names the same kinds (Lesser, Affero, NC, ND, SA,
+clauses) and versions as the template, and no less than its names; where matches
+overlap, the one with more words stays.  Ids of SPDX lines are matches of
+their own.
 
 The templates are a parameter: name -> text.  The index is as large as they
 are; it is sent to the executors, and every text is read whole, once, without
@@ -27,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from hashlib import blake2b
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -40,7 +44,7 @@ BAND = 8
 MIN_COVERAGE = 0.8
 
 # Notices of public licenses, in their usual words.
-TEMPLATES: dict[str, str] = {
+_NOTICES: dict[str, str] = {
     "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 (header)": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -48,7 +52,7 @@ TEMPLATES: dict[str, str] = {
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "BSD-2-Clause": (
+    "BSD-2-Clause (conditions)": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
@@ -68,23 +72,104 @@ TEMPLATES: dict[str, str] = {
         "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
-    "ISC": (
+    "ISC (grant)": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
     "MIT (notice)": "Released under the MIT License.",
-    "MIT": (
+    "MIT (grant)": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
         "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
-    "MPL-2.0": (
+    "MPL-2.0 (notice)": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
 }
 
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+    "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU_HEADER = (
+    "{what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published "
+    "by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. {what} is distributed in "
+    "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+    "PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+)
+_GNU = {"GPL": ("", "This program", ("2", "3")), "LGPL": ("Lesser ", "This library", ("2.1", "3")), "AGPL": ("Affero ", "This program", ("3",))}
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def _templates() -> dict[str, str]:
+    """The notices, the same for the other members of their families, and whole licenses."""
+    out = dict(_NOTICES)
+    for name, (kind, what, versions) in _GNU.items():
+        for version in versions:
+            number = version if "." in version else f"{version}.0"
+            out.setdefault(f"{name}-{number} (notice)", f"This work is licensed under the GNU {kind}General Public License, version {version}.")
+            out[f"{name}-{number}-or-later (notice)"] = f"This work is licensed under the GNU {kind}General Public License, version {version} or any later version."
+            out[f"{name}-{number}-or-later (header)"] = _GNU_HEADER.format(what=what, kind=kind, version=version)
+    for name, words in _CC.items():
+        out.setdefault(f"CC-{name}-4.0 (notice)", f"Licensed under CC {name} 4.0.")
+        out.setdefault(f"CC-{name}-4.0 (long notice)", f"This work is licensed under a Creative Commons {words} 4.0 International License.")
+        out[f"CC-{name}-3.0 (notice)"] = f"Licensed under CC {name} 3.0."
+        out[f"CC-{name}-3.0 (long notice)"] = f"This work is licensed under a Creative Commons {words.replace('NoDerivatives', 'NoDerivs')} 3.0 Unported License."
+    two = out["BSD-2-Clause (conditions)"]
+    out["BSD-2-Clause"] = f"{two} {_AS_IS}"
+    out["BSD-3-Clause (conditions)"] = f"{two} 3. {_ENDORSE}"
+    out["BSD-3-Clause"] = f"{two} 3. {_ENDORSE} {_AS_IS}"
+    advertising = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by"
+    out["BSD-4-Clause"] = f"{two} {advertising} 4. {_ENDORSE} {_AS_IS}"
+    out["ISC"] = out["ISC (grant)"] + (
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    )
+    out["MIT"] = out["MIT (grant)"] + (
+        ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE."
+    )
+    out["Unlicense"] = (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    )
+    for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"):
+        out[name] = files("anamnesis.llm").joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+    return out
+
+
+TEMPLATES = _templates()
+
+#: What tells licenses of like words apart: kinds and versions, which a match must share with its template, and
+#: names, which it must not lack.
+_KIND = re.compile(
+    r"\b(?:(?P<lesser>lesser|library)(?=\W+(?:gnu\W+)?general)|(?P<affero>affero)|(?P<nc>nc|non-?commercial)|(?P<nd>nd|no-?deriv\w*)|(?P<sa>sa|share-?alike)"
+    r"|(?P<endorse>endorse)|(?P<advertising>advertising)|(?P<remotely>remotely)|(?P<later>any\W+later\W+version|or\W+later))\b"
+)
+_VERSION = re.compile(r"\b(?:version|v|by|nc|nd|sa|attribution|non-?commercial|no-?deriv\w*|share-?alike)[\W_]+([0-9]+(?:\.[0-9]+)*)")
+_NAME = re.compile(r"\b(mit|bsd|apache|mozilla|gnu|cc|creative\W+commons)\b")
+_REST_OF_VERSION = re.compile(r"(?:\.[0-9]+)+|(?:-(?:NC|ND|SA)\b)+", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.I)
+_SPDX_ID = re.compile(r"(\bwith\s+)?(?<![\w.+-])((?!(?:and|or|with|none|noassertion)\b)[A-Za-z][A-Za-z0-9.-]*[A-Za-z0-9]\+?)", re.I)
+
 _WORD = re.compile(r"[^\W_]+")
 MATCHES = T.ArrayType(
     T.StructType(
@@ -115,6 +200,7 @@ class Index:
     def __init__(self, templates: Mapping[str, str]):
         self.names = sorted(templates)
         self.words = [words_of(templates[name]) for name in self.names]
+        self.marks = [marks(templates[name]) for name in self.names]
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for words in self.words for w in words}))}
         self.numbers = [np.array([self.number[w] for w in words], dtype=np.int64) for words in self.words]
         self.base = len(self.number) + 1
@@ -137,6 +223,27 @@ class Index:
         return np.where(whole, total, -1)
 
 
+def marks(text: str) -> tuple[set[str], set[str]]:
+    """(kinds and versions, names) of licenses in a text."""
+    low = text.lower()
+    versions = {re.sub(r"(?:\.0)+$", "", m[1]) for m in _VERSION.finditer(low)}
+    return {m.lastgroup for m in _KIND.finditer(low)} | versions, {m[1] for m in _NAME.finditer(low)}
+
+
+def spdx(text: str) -> list[tuple[str, float, int, int]]:
+    """The license ids of SPDX lines, as matches."""
+    out = []
+    for line in _SPDX.finditer(text):
+        expression = re.split(r"\*/|-->", line[1])[0]
+        # a bare id ends the expression where no operator follows it
+        at = 0
+        while (m := _SPDX_ID.search(expression, at)) and (at == 0 or re.search(r"\b(and|or|with)\b", expression[at : m.start(2)], re.I)):
+            if not m[1]:
+                out.append((f"{m[2]} (SPDX)", 1.0, line.start(1) + m.start(2), line.start(1) + m.end(2)))
+            at = m.end()
+    return out
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(matching words, first and last text word of the matches) of the best alignment with the whole template.
 
@@ -201,29 +308,34 @@ def _candidates(template: np.ndarray, numbers: np.ndarray, hits: list[tuple[int,
 
 def find(index: Index, text: str, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of the matches in a text, in its order; start and end are characters."""
+    ids = spdx(text) if index.names and "spdx" in text.lower() else []
     words = words_of(text)
     number = index.number
     numbers = np.fromiter((number.get(w, 0) for w in words), dtype=np.int64, count=len(words))
     grams = index.grams(numbers)
-    hits = np.flatnonzero(np.isin(grams, index.known) & (grams >= 0)) if len(index.known) else ()
+    known = np.flatnonzero(grams >= 0) if len(index.known) else np.empty(0, dtype=np.int64)
+    hits = known[index.known[np.minimum(np.searchsorted(index.known, grams[known]), len(index.known) - 1)] == grams[known]]
     if not len(hits):
-        return []
+        return ids
     diagonals: dict[int, list[tuple[int, int]]] = {}
     for hit in hits.tolist():
         for template, place in index.places[int(grams[hit])]:
             diagonals.setdefault(template, []).append((hit - place, hit))
+    spans = [m.span() for m in _WORD.finditer(text)]
     found = []
     for template, at in diagonals.items():
         for matches, first, last in _candidates(index.numbers[template], numbers, at, min_coverage):
-            found.append((matches, matches / len(index.words[template]), first, last, index.names[template]))
+            end = spans[last][1]
+            more = _REST_OF_VERSION.match(text, end)
+            kinds, names = marks(text[spans[first][0] : more.end() if more else end])
+            if kinds == index.marks[template][0] and names >= index.marks[template][1]:
+                found.append((matches, matches / len(index.words[template]), first, last, index.names[template]))
     taken: list[tuple] = []
     for match in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[4])):
         if not any(match[2] <= other[3] and other[2] <= match[3] for other in taken):
             taken.append(match)
-    if not taken:
-        return []
-    spans = [m.span() for m in _WORD.finditer(text)]
-    return [(name, coverage, spans[first][0], spans[last][1]) for _, coverage, first, last, name in sorted(taken, key=lambda m: m[2])]
+    matched = [(name, coverage, spans[first][0], spans[last][1]) for _, coverage, first, last, name in taken]
+    return sorted(matched + ids, key=lambda m: m[2])
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, out: str = "licenses") -> DataFrame:

@@ -45,3 +45,39 @@ def test_alignment_agrees_with_a_plain_search():
         matches, first, last = licenses.align(template, text, -len(template), len(text))
         assert matches == _plain(template.tolist(), text.tolist())
         assert matches == 0 or 0 <= first <= last < len(text)
+
+
+LIKE = {
+    "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0 (notice)"],
+    "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0 (notice)"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1 (notice)"],
+    "This work is licensed under the GNU General Public License, version 2.1.": [],
+    "This work is licensed under the GNU General Public License, version 2.0.": ["GPL-2.0 (notice)"],
+    "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0 (notice)"],
+    "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0 (notice)"],
+    "Licensed under CC BY 3.0.": ["CC-BY-3.0 (notice)"],
+    "Licensed under CC BY 2.5.": [],
+    "Licensed under the Apache License, Version 1.1.": [],
+    "Released under the BSD License.": [],
+    "Released under the MIT License.": ["MIT (notice)"],
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0 */": ["MIT (SPDX)", "Apache-2.0 (SPDX)", "GPL-2.0-only (SPDX)"],
+}
+
+
+@pytest.mark.parametrize("text", LIKE)
+def test_like_licenses_are_told_apart(index, text):
+    assert _names(index, f"Some words. {text}\nOther words.") == LIKE[text]
+
+
+def test_every_template_is_found_as_itself(index):
+    for name, text in licenses.TEMPLATES.items():
+        ((found, coverage, start, _),) = licenses.find(index, f"Before it.\n\n{text}\n\nAfter it.")
+        assert (found, coverage, start) == (name, 1.0, len("Before it.\n\n") + len(text) - len(text.lstrip()))
+
+
+def test_unknown_kinds_are_not_given_another_name():
+    known = {name: licenses.TEMPLATES[name] for name in ("GPL-3.0 (notice)", "CC-BY-4.0 (notice)", "BSD-2-Clause", "BSD-2-Clause (conditions)")}
+    index = licenses.Index(known)
+    for name in ("LGPL-3.0 (notice)", "AGPL-3.0 (notice)", "CC-BY-ND-4.0 (notice)"):
+        assert _names(index, licenses.TEMPLATES[name]) == []
+    assert "BSD-2-Clause" not in _names(index, licenses.TEMPLATES["BSD-3-Clause"])
