@@ -11,7 +11,7 @@ from anamnesis.catalog.memory import trim_sql
 from anamnesis.functions import hooks
 from anamnesis.operators import live
 from anamnesis.operators.links import temporal_links
-from anamnesis.operators.order import top
+from anamnesis.operators.order import numbered, top
 from anamnesis.plans import recall as recall_plan
 from anamnesis.plans import retain as retain_plan
 from anamnesis.plans.consolidation import consolidate_all
@@ -105,8 +105,9 @@ def _stream_chunks(t: Tables):
 
 def _contents(t: Tables) -> DataFrame:
     """Every turn of a conversation is one retain call."""
-    return t.read("conversations").select(
-        (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("call_id"),
+    turns = t.read("conversations").select("conv_id", "turn", "role", "text")
+    return numbered(turns, ["conv_id", "turn", "role", "text"], "call_id").select(
+        "call_id",
         (F.col("conv_id") % 5).alias("bank_id"),
         "text",
         F.col("role").alias("context"),

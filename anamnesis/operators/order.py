@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anamnesis.session import materialize
+
 TURNS_PER_BLOCK = 65_536
 SECONDS_PER_BLOCK = 3_600
 
@@ -26,6 +28,21 @@ def time_block(ts: str, seconds: int = SECONDS_PER_BLOCK) -> Column:
     return F.floor(F.unix_seconds(F.col(ts)) / seconds).cast("bigint")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, first: int = 0) -> DataFrame:
+    """Add ``name``: consecutive numbers from ``first`` in the order of the columns.
+
+    Rows are range-partitioned and sorted; the sizes of the partitions before are added to a row's place in its own.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+    rows = materialize(rows.withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    number = F.lit(first).cast("bigint") + F.col("_start") + F.col("_place")
+    return rows.join(starts, "_part").withColumn(name, number).drop("_part", "_place", "_start")
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, fields: Sequence[str], name: str = "prev"
 ) -> DataFrame:

@@ -11,11 +11,9 @@ from anamnesis.functions import hooks
 from anamnesis.functions.facts import validate_facts
 from anamnesis.functions.text import embedding_text
 from anamnesis.operators import dedup, entities, links
+from anamnesis.operators.order import numbered
 from anamnesis.session import materialize
 
-# room for the facts of one call in the id order; a product that leaves 64 bits is an error, not a wrong id
-FACTS_PER_CALL = 1 << 24
-
 
 @dataclass(frozen=True)
 class Retained:
@@ -31,11 +29,11 @@ class Retained:
     counts: DataFrame
 
 
-def facts_of(contents: DataFrame, as_of: Column, extractor=None, embedder=hooks.hashed_words) -> DataFrame:
-    """Valid facts with ids in arrival order, and their embeddings."""
+def facts_of(contents: DataFrame, as_of: Column, extractor=None, embedder=hooks.hashed_words, first: int = 0) -> DataFrame:
+    """Valid facts with ids from ``first`` on in arrival order (call, place in the call), and their embeddings."""
     raw = hooks.sentence_facts(contents) if extractor is None else hooks.extract_facts(contents, extractor)
-    facts = validate_facts(raw).select(
-        (F.col("call_id") * FACTS_PER_CALL + F.col("pos")).alias("unit_id"),
+    facts = numbered(validate_facts(raw), ["call_id", "pos", "bank_id", "text"], "unit_id", first).select(
+        "unit_id",
         "bank_id",
         F.col("call_id").alias("batch_id"),
         "text",
@@ -71,8 +69,10 @@ def retain(
     ``mentions(entity_id, batch_id, at)`` updates the entities by ``entities.entity_mentions``, the co-occurrences are
     added to stored ones by ``entities.merge_cooccurrence``.
     """
-    facts = materialize(facts_of(contents, as_of, extractor, embedder), "facts")
-    old = None if stored_units is None else stored_units
+    old = stored_units
+    # units are numbered on from the stored ones
+    last = None if old is None else old.agg(F.max("unit_id")).first()[0]
+    facts = materialize(facts_of(contents, as_of, extractor, embedder, 0 if last is None else last + 1), "facts")
     kept = materialize(dedup.keep_new(facts, old, threshold), "kept")
     done = facts.groupBy("bank_id").agg(F.count("*").alias("facts"))
     left = kept.groupBy("bank_id").agg(F.count("*").alias("stored"))
