@@ -16,8 +16,9 @@ are linear in the triples, all landmarks fold into one table of triple
 weights, and scoring a word costs the same for any number of landmarks.
 
 Bounds: at most SAMPLE labelled texts of the classes are fitted on, taken by a
-hash of their id; every text is scored whole.  The model is a table of
-64 * 64 * 64 numbers at most.
+hash of their id; every text is scored whole.  The model knows every character
+of the landmarks, and holds a weight for each triple and a row of the alphabet's
+size for each pair of characters that they have in order.
 
 Defined cases: a null text is empty, an empty text scores as the machine's
 threshold does (no word), labels that are null play no part, without labels of
@@ -48,7 +49,6 @@ DECAY = 0.6
 WINDOW, STRIDE = 12, 4
 #: A triple may stretch over so many characters.
 STRETCH = 8
-SYMBOLS = 64
 GRAMS = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
 CACHE = 200_000
@@ -80,36 +80,51 @@ class Alphabet:
     """Codes of the landmarks' characters; 0 stands for all others and matches nothing."""
 
     def __init__(self, landmarks: list[str]):
-        seen = sorted({c for mark in landmarks for c in mark})[: SYMBOLS - 1]
+        seen = sorted({c for mark in landmarks for c in mark})
         self.code = {ord(c): i + 1 for i, c in enumerate(seen)}
+        self.symbols = len(seen) + 1
+        self.dtype = np.min_scalar_type(len(seen))
 
     def codes(self, strings: list[str]) -> np.ndarray:
         code = self.code
-        flat = bytes(code.get(ord(c), 0) for string in strings for c in string.ljust(WINDOW, "\0"))
-        return np.frombuffer(flat, dtype=np.uint8).reshape(-1, WINDOW)
+        flat = (code.get(ord(c), 0) for string in strings for c in string.ljust(WINDOW, "\0"))
+        return np.fromiter(flat, dtype=self.dtype, count=len(strings) * WINDOW).reshape(-1, WINDOW)
 
-    def triples(self, string: str) -> dict[int, float]:
-        """The feature vector of a string: triple number -> weight."""
-        vector: dict[int, float] = {}
+    def triples(self, string: str) -> dict[tuple[int, int, int], float]:
+        """The feature vector of a string: triple of codes -> weight."""
+        vector: dict[tuple[int, int, int], float] = {}
         codes = self.codes([string])[0].astype(int)
         for i, j, k in TRIPLES:
             if codes[i] and codes[j] and codes[k]:
-                at = int((codes[i] * SYMBOLS + codes[j]) * SYMBOLS + codes[k])
+                at = (int(codes[i]), int(codes[j]), int(codes[k]))
                 vector[at] = vector.get(at, 0.0) + DECAY ** (k - i + 1)
         return vector
 
 
-def weigh(codes: np.ndarray, table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-    """Sum of table[triple] * DECAY^stretch over the triples of every row of codes.
+class Triples:
+    """Rows of the triples in use, found through the rows of their first two characters; row 0 is for all others."""
 
-    ``rows`` gives each triple's row of the table, where the table holds only the triples in use.
-    """
+    def __init__(self, symbols: int, used: list[tuple[int, int, int]]):
+        pairs = {pair: i + 1 for i, pair in enumerate(sorted({t[:2] for t in used}))}
+        self.symbols = symbols
+        self.pairs = np.zeros(symbols * symbols, dtype=np.int32)
+        self.rows = np.zeros((len(pairs) + 1) * symbols, dtype=np.int32)
+        for (i, j), pair in pairs.items():
+            self.pairs[i * symbols + j] = pair
+        for row, (i, j, k) in enumerate(used):
+            self.rows[pairs[i, j] * symbols + k] = row + 1
+
+    def of(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        return self.rows[self.pairs[first * self.symbols + second] * self.symbols + third]
+
+
+def weigh(codes: np.ndarray, table: np.ndarray, triples: Triples) -> np.ndarray:
+    """Sum of table[triple's row] * DECAY^stretch over the triples of every row of codes."""
     total = np.zeros((len(codes), *table.shape[1:]), dtype=np.float32)
     for at in range(0, len(codes), 8_192):
         some = codes[at : at + 8_192].astype(np.int32)
         for i, j, k in TRIPLES:
-            triple = (some[:, i] * SYMBOLS + some[:, j]) * SYMBOLS + some[:, k]
-            total[at : at + 8_192] += np.float32(DECAY ** (k - i + 1)) * table[triple if rows is None else rows[triple]]
+            total[at : at + 8_192] += np.float32(DECAY ** (k - i + 1)) * table[triples.of(some[:, i], some[:, j], some[:, k])]
     return total
 
 
@@ -121,25 +136,24 @@ class Machine:
         vectors = [self.alphabet.triples(mark) for mark in landmarks]
         norms = [np.sqrt(sum(v * v for v in vector.values())) or 1.0 for vector in vectors]
         used = sorted({at for vector in vectors for at in vector})
-        # row 0 is for all triples that no landmark has
-        self.rows = np.zeros(SYMBOLS**3, dtype=np.int32)
-        self.rows[used] = np.arange(1, len(used) + 1)
+        self.rows = Triples(self.alphabet.symbols, used)
+        row = {triple: i + 1 for i, triple in enumerate(used)}
         self.basis = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
         for column, (vector, norm) in enumerate(zip(vectors, norms)):
             for at, weight in vector.items():
-                self.basis[self.rows[at], column] = weight / norm
+                self.basis[row[at], column] = weight / norm
         gram = self.basis.T.astype(np.float64) @ self.basis
         values, axes = np.linalg.eigh(gram)
         keep = values > 1e-6
         self.whiten = axes[:, keep] / np.sqrt(values[keep])
-        self.table = self.basis.sum(axis=1)[self.rows]
+        self.table = self.basis.sum(axis=1)
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
 
     def features(self, codes: np.ndarray) -> np.ndarray:
         return weigh(codes, self.basis, self.rows).astype(np.float64) @ self.whiten
 
     def set(self, weights: np.ndarray, bias: float) -> None:
-        self.table = (self.basis @ (self.whiten @ weights).astype(np.float32)).astype(np.float32)[self.rows]
+        self.table = (self.basis @ (self.whiten @ weights).astype(np.float32)).astype(np.float32)
         self.bias = bias
 
     def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +171,7 @@ class Machine:
         if len(owner):
             # windows come in the order of their words
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best[owner[first]] = np.maximum.reduceat(weigh(codes, self.table), first)
+            best[owner[first]] = np.maximum.reduceat(weigh(codes, self.table, self.rows), first)
         return best + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -282,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     against = np.empty(0, dtype=np.int64)
     for _ in range(ROUNDS):
         # the windows that stand for a word: the best ones of toxic texts, the three best words' of clean ones
-        order = np.lexsort((-weigh(codes, machine.table), owner))
+        order = np.lexsort((-weigh(codes, machine.table, machine.rows), owner))
         window_of = np.full(len(vocabulary), -1)
         window_of[owner[order][::-1]] = order[::-1]
         best = [t[np.argsort(-margins[t], kind="stable")[: 1 if is_toxic else 3]] for t, is_toxic, fitted in zip(texts, toxic, use) if fitted]
@@ -299,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     # the part that wasn't fitted calibrates, if it has enough of both classes
     judge = ~use if min(toxic[~use].sum(), (~toxic[~use]).sum()) >= 30 else np.ones(len(texts), dtype=bool)
     machine.slope, machine.offset = calibrate(best[judge], toxic[judge])
-    del machine.basis, machine.rows, machine.whiten
+    del machine.basis, machine.whiten
     return machine
 
 
