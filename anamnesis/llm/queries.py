@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import bpe, embedding_dedup, exact_dedup, licenses, line_dedup, main_text, mixing, near_dedup, pii, toxicity
+from anamnesis.llm import bpe, embedding_dedup, exact_dedup, licenses, line_dedup, main_text, merkle, mixing, near_dedup, pii, toxicity
 from anamnesis.llm.base import table
 
 
@@ -50,6 +50,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_mix_sources": op2_mix_sources,
@@ -61,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_line_runs": line_dedup.SQL,
+    "op13_merkle": merkle.SQL,
 }
