@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm import bpe, chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, main_text, merkle, mixing, near_dedup, pii, toxicity
+from anamnesis.llm import bpe, centroids, chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, main_text, merkle, mixing, near_dedup, pii, toxicity
 from anamnesis.llm.base import table
 
 
@@ -50,6 +50,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_report(chat_format.with_conflict(spark, table(spark, sf_dir, "conversations")))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_centroids": op11_centroids,
     "op12_chat_format": op12_chat_format,
     "op13_merkle": op13_merkle,
 }
@@ -77,6 +82,7 @@ SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_line_runs": line_dedup.SQL,
+    "op11_centroids": centroids.SQL,
     "op12_chat_format": chat_format.SQL,
     "op13_merkle": merkle.SQL,
 }
