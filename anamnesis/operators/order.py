@@ -43,6 +43,14 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, first: int = 0) ->
     return rows.join(starts, "_part").withColumn(name, number).drop("_part", "_place", "_start")
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by ``keys`` to as many tasks as the session shuffles to.
+
+    For few bytes that cost much computation: left alone, adaptive execution would merge them into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, fields: Sequence[str], name: str = "prev"
 ) -> DataFrame:

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from anamnesis.functions import tags as tag_rules
-from anamnesis.functions import text
 from anamnesis.functions.dates import is_stale
+from anamnesis.operators import keywords
 from anamnesis.operators.order import top
-from anamnesis.operators.similarity import block_grid, nearest
+from anamnesis.operators.similarity import nearest
 
 # Fixed values of the searches.
 SEARCH_THRESHOLD = 0.1
@@ -31,8 +26,6 @@ SOURCES_SHOWN = 5
 RELATED_THRESHOLD, RELATED_LIMIT = 0.3, 10
 MEMORY_THRESHOLD, MEMORY_LIMIT = 0.7, 5
 MATRIX_SHOWN = 30
-# block sizes of the keyword search
-KEYWORD_UNITS, KEYWORD_QUERIES = 1024, 32
 
 
 def semantic_search(
@@ -168,81 +161,15 @@ def pca_2d(units: DataFrame) -> DataFrame:
     )
 
 
-def _word_pairs(text: str | None) -> set[str]:
-    """Distinct bigrams of a text, as functions.text.bigrams defines them."""
-    squeezed = re.sub(r"[ \t\n\x0b\f\r]+", " ", text or "").strip(" ")
-    padded = f" {squeezed} "
-    return {padded[i : i + 2] for i in range(len(padded) - 1)} if squeezed else set()
-
-
-def _score_words(texts: list[str | None], words: list[str], vocabulary: dict[str, int], marks: np.ndarray) -> np.ndarray:
-    """Bigram similarity of every text to every word; ``marks`` are the words' bigrams."""
-    held = np.zeros((len(texts), len(vocabulary)), dtype=np.float32)
-    sizes = np.ones(len(texts))
-    for row, text_ in enumerate(texts):
-        grams = _word_pairs(text_)
-        sizes[row] = max(len(grams), 1)
-        held[row, [vocabulary[g] for g in grams if g in vocabulary]] = 1.0
-    return (held @ marks.T) / np.maximum(sizes[:, None], marks.sum(axis=1)[None, :])
-
-
-def _keyword_block(per_type: int, schema: pa.Schema):
-    """Kernel: the best units per query and type among one block of each side."""
-
-    def search(units: pa.Table, queries: pa.Table) -> pa.Table:
-        if units.num_rows == 0 or queries.num_rows == 0:
-            return schema.empty_table()
-        asked = queries["keywords"].to_pylist()
-        words = sorted({w for keywords in asked for w in keywords})
-        place = {w: i for i, w in enumerate(words)}
-        grams = [_word_pairs(w) for w in words]
-        vocabulary = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
-        marks = np.zeros((len(words), len(vocabulary)), dtype=np.float32)
-        for row, own in enumerate(grams):
-            marks[row, [vocabulary[g] for g in own]] = 1.0
-        texts, contexts = units["text"].to_pylist(), units["context"].to_pylist()
-        score = np.maximum(_score_words(texts, words, vocabulary, marks), _score_words(contexts, words, vocabulary, marks))
-        found = np.array([[w in (x or "") or w in (c or "") for w in words] for x, c in zip(texts, contexts, strict=True)])
-        ids, kinds = units["unit_id"].to_numpy(), np.array(units["fact_type"].to_pylist(), dtype=object)
-        rows = []
-        for query_id, keywords in zip(queries["query_id"].to_pylist(), asked, strict=True):
-            of_query = [place[w] for w in keywords]
-            hit = np.nonzero(found[:, of_query].any(axis=1))[0]
-            best = np.round(score[np.ix_(hit, of_query)].max(axis=1), 9) if len(hit) else np.zeros(0)
-            for kind in set(kinds[hit]):
-                same = np.nonzero(kinds[hit] == kind)[0]
-                order = same[np.lexsort((ids[hit[same]], -best[same]))][:per_type]
-                rows += [(query_id, int(ids[hit[i]]), kind, float(best[i])) for i in order]
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return search
-
-
 def keyword_search(
-    queries: DataFrame, units: DataFrame, per_type: int = PER_TYPE_LIMIT, rows_per_block: int = KEYWORD_UNITS
+    queries: DataFrame, units: DataFrame | keywords.KeywordIndex, per_type: int = PER_TYPE_LIMIT, rows_per_block: int = keywords.LIST_UNITS
 ) -> DataFrame:
     """(query_id, unit_id, fact_type, score): units that contain a keyword of the query.
 
     The score is the best bigram similarity between any keyword and the unit's
-    text or context.  Blocks of units meet blocks of queries inside a bank;
-    each block pair scores its distinct words as one matrix product and gives
-    back its best units per query and type.
+    text or context.  Give a stored index instead of the units to search them
+    more than once.
     """
-    known = units.filter(F.col("fact_type").isin(FACT_TYPES)).select(
-        F.col("bank_id").alias("bank_id"), "unit_id", "fact_type", "text", "context"
-    )
-    asked = queries.select(
-        F.col("bank_id").alias("bank_id"), "query_id", text.extract_keywords(F.col("text")).alias("keywords")
-    ).filter(F.size("keywords") > 0)
-    left, right, blocks = block_grid(known, asked, ["bank_id"], "unit_id", "query_id", rows_per_block, KEYWORD_QUERIES)
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("unit_id", T.LongType()),
-            T.StructField("fact_type", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    kernel = _keyword_block(per_type, to_arrow_schema(schema))
-    hits = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(kernel, schema)
-    return top(hits, ["query_id", "fact_type"], [F.desc("score"), F.asc("unit_id")], per_type).drop("rn")
+    if isinstance(units, DataFrame):
+        units = keywords.build_index(units.filter(F.col("fact_type").isin(FACT_TYPES)), rows_per_block)
+    return keywords.keyword_search(queries, units, per_type)

@@ -32,7 +32,7 @@ QUERIES_PER_STEP = 512
 SLACK = 1e-6
 
 
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix of unit-length rows; zero vectors stay zero."""
     values = column.combine_chunks()
     flat = np.asarray(values.flatten(), dtype=np.float64)
@@ -56,8 +56,8 @@ def _block_search(threshold: float, k: int | None, pairs: bool, per: str | None,
     def search(units: pa.Table, queries: pa.Table) -> pa.Table:
         if units.num_rows == 0 or queries.num_rows == 0:
             return schema.empty_table()
-        unit_rows, query_rows = _unit_rows(units["_vec"]), _unit_rows(queries["_vec"])
-        if unit_rows.shape[1] != query_rows.shape[1]:
+        stored, asked = unit_rows(units["_vec"]), unit_rows(queries["_vec"])
+        if stored.shape[1] != asked.shape[1]:
             raise ValueError("vectors differ in length")
         unit_ids, query_ids = units["_uid"], queries["_qid"]
         order = _codes(unit_ids)
@@ -67,7 +67,7 @@ def _block_search(threshold: float, k: int | None, pairs: bool, per: str | None,
             unit_codes, query_codes = both[: units.num_rows], both[units.num_rows :]
         parts = []
         for begin in range(0, queries.num_rows, QUERIES_PER_STEP):
-            scores = np.round(query_rows[begin : begin + QUERIES_PER_STEP] @ unit_rows.T, SIM_DIGITS)
+            scores = np.round(asked[begin : begin + QUERIES_PER_STEP] @ stored.T, SIM_DIGITS)
             hit = scores >= threshold
             if pairs:
                 hit &= query_codes[begin : begin + QUERIES_PER_STEP, None] != unit_codes[None, :]
@@ -115,7 +115,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataF
             table = pa.Table.from_batches([batch])
             if table.num_rows == 0:
                 continue
-            near = _unit_rows(table["_vec"]) @ pivots.T
+            near = unit_rows(table["_vec"]) @ pivots.T
             # unit vectors: |x - p|^2 = 2 - 2 x.p ; a zero vector matches nothing
             distance = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * near))
             if reach is None:
