@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.functions.dates import HOUR_US, LINK_WINDOW_HOURS, best_event_time, link_weight
 from anamnesis.functions.vector import cosine
-from anamnesis.operators.order import time_block, top, with_running_sum
+from anamnesis.operators.order import spread_out, time_block, top, with_running_sum
 from anamnesis.operators.similarity import nearest
 
 # Fixed values of the link rules.
@@ -21,6 +21,9 @@ EDGES_PER_TYPE = 20
 SLICE_SECONDS = 60
 # unit ids of one time that share a window
 UNITS_PER_SLICE = 1 << 16
+# units of one entity that meet its partners in one task, and entities that are dealt out over several
+ENTITY_SLICE = 100_000
+FREQUENT_ENTITIES = 1_000
 # rows of one call that meet all rows of the call in one task
 CALL_SLICE = 1_000
 
@@ -163,23 +166,26 @@ def entity_links(units: DataFrame, unit_entities: DataFrame, stored: DataFrame |
     per_call = top(
         pool, ["entity_id", "bank_id", "batch_id"], [F.desc("created_at"), F.desc("unit_id")], ENTITY_PER_UNIT, "place"
     ).drop("place")
-    offered = top(
-        per_call, ["entity_id"], [F.desc("created_at"), F.desc("unit_id")], 2 * ENTITY_PER_UNIT, "place"
-    ).select(
-        "entity_id",
-        "place",
-        F.col("unit_id").alias("o_unit_id"),
-        F.col("bank_id").alias("o_bank_id"),
-        F.col("batch_id").alias("o_batch_id"),
-    )
-    same_call = (F.col("batch_id") == F.col("o_batch_id")) & (F.col("bank_id") == F.col("o_bank_id"))
-    others = mine.join(offered, "entity_id").filter(~same_call & (F.col("unit_id") != F.col("o_unit_id")))
-    newest = top(others, ["entity_id", "unit_id"], [F.asc("place")], ENTITY_PER_UNIT)
-    across = both_ways(newest.select(*_edge("unit_id", "o_unit_id", "entity", F.lit(1.0), F.col("entity_id"))))
-    inside = _within_call(mine, ["entity_id"]).select(
-        *_edge("u_unit_id", "o_unit_id", "entity", F.lit(1.0), F.col("entity_id"))
-    )
-    return distinct_edges(across.unionByName(inside))
+    newest = top(per_call, ["entity_id"], [F.desc("created_at"), F.desc("unit_id")], 2 * ENTITY_PER_UNIT, "place")
+    partner = F.struct("place", F.col("unit_id").alias("o_unit_id"), F.col("bank_id").alias("o_bank_id"), F.col("batch_id").alias("o_batch_id"))
+    offered = newest.groupBy("entity_id").agg(F.sort_array(F.collect_list(partner)).alias("offered"))
+    # the units of a frequent entity are dealt out over slices, each of which meets its one row of partners
+    n = mine.groupBy("entity_id").agg(F.ceil(F.count("*") / ENTITY_SLICE).cast("int").alias("_slices"))
+    frequent = F.broadcast(n.filter("_slices > 1").orderBy(F.desc("_slices"), "entity_id").limit(FREQUENT_ENTITIES))
+    slices = F.coalesce("_slices", F.lit(1))
+    dealt = mine.join(frequent, "entity_id", "left").withColumn("_slice", F.pmod(F.xxhash64("unit_id"), slices).cast("int"))
+    offered = offered.join(frequent, "entity_id", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    # few bytes become many pairs here
+    dealt = spread_out(dealt.drop("_slices"), "entity_id", "_slice")
+    met = dealt.join(offered.drop("_slices"), ["entity_id", "_slice"])
+    other = lambda o: ~((o["o_batch_id"] == F.col("batch_id")) & (o["o_bank_id"] == F.col("bank_id"))) & (o["o_unit_id"] != F.col("unit_id"))
+    chosen = F.slice(F.filter("offered", other), 1, ENTITY_PER_UNIT)
+    across = met.select("bank_id", "entity_id", "unit_id", F.explode(F.transform(chosen, lambda o: o["o_unit_id"])).alias("o_unit_id"))
+    inside = _within_call(mine, ["entity_id"]).filter("u_unit_id < o_unit_id")
+    inside = inside.select("bank_id", "entity_id", F.col("u_unit_id").alias("unit_id"), "o_unit_id")
+    # a pair that both sides name is one pair; it becomes two edges at the end
+    pairs = across.unionByName(inside).select("bank_id", "entity_id", F.least("unit_id", "o_unit_id").alias("_a"), F.greatest("unit_id", "o_unit_id").alias("_b"))
+    return both_ways(pairs.distinct().select(*_edge("_a", "_b", "entity", F.lit(1.0), F.col("entity_id"))))
 
 
 def build_links(
