@@ -5,12 +5,16 @@ byte by byte by a finite-state transducer.  The last token of the encoding of
 a prefix is unique, and a token sequence is the encoding of its bytes exactly
 if every token stands for itself and every two neighbours do.  So a state
 holds, for every place where a token may still be open, the trie node read
-since then, the last token before it, and the tokens decided up to it; reading
-a byte moves all of these at once (a subset construction), closes the one
-token that is compatible with its predecessor, and emits the tokens on which
-all open places agree.  No place stays open longer than the longest token, so
-the lookahead is bounded.  States are built when first reached, ``max_states``
-at most; pieces that need more are read by the same rules without the table.
+since then and the last token before it; reading a byte moves all of these at
+once (a subset construction) and closes the longest open token that is
+compatible with its predecessor.  That token is the move's output: the last
+token of the encoding of all bytes read so far.  No place stays open longer
+than the longest token, so the lookahead is bounded.  At the end of a piece the
+outputs are followed back from the last byte, token by token.
+
+States are built when first reached.  When ``max_states`` of them exist, all
+but the current one are forgotten and built again as they are needed, so the
+same moves are made whatever the bound.
 
 Decoding: token bytes pass through an incremental UTF-8 decoder whose state is
 the at most three bytes of an unfinished character; its moves are remembered
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Built states, remembered words and remembered pairs of tokens that a worker holds at most.
-MAX_STATES = 30_000
+MAX_STATES = 200_000
 MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
 START = -1
@@ -71,14 +75,21 @@ class Transducer:
                 node = after
             if self.stands(rank):
                 self.token_at[node] = rank
+        #: nodes that go on; a place at any other one is over
+        self.inner = {key >> 8 for key in self.child}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.state_of: dict[tuple, int] = {}
         self.places: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.first = self._state(((0, START, ()),))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.built = 0
+        self.first = self._state(((0, START),))
 
     def _state(self, places: tuple) -> int:
         state = self.state_of.get(places)
         if state is None:
+            if len(self.places) >= self.max_states:
+                self.state_of, self.places, self.moves = {}, [], []
+                self.first = self._state(((0, START),)) if places != ((0, START),) else 0
             state = self.state_of[places] = len(self.places)
             self.places.append(places)
             self.moves.append({})
@@ -135,94 +146,45 @@ class Transducer:
         self.pairs[left << 20 | right] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, token closed by the byte)."""
         places, closed = [], None
-        for node, last, decided in self.places[state]:
+        for node, last in self.places[state]:
             after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
-            places.append((after, last, decided))
+            if after in self.inner:
+                places.append((after, last))
             token = self.token_at[after]
             if closed is None and token is not None and (last == START or self.compatible(last, token)):
-                closed = (0, token, (*decided, token))
-        places.append(closed)
-        shared = 0
-        shortest = min(len(p[2]) for p in places)
-        while shared < shortest and len({p[2][shared] for p in places}) == 1:
-            shared += 1
-        emitted = places[0][2][:shared]
-        move = self._state(tuple((node, last, decided[shared:]) for node, last, decided in places)), emitted
-        self.moves[state][byte] = move
+                closed = token
+        places.append((0, closed))
+        moves = self.moves[state]
+        move = self._state(tuple(places)), closed
+        # of a state that was forgotten meanwhile, nothing is kept
+        moves[byte] = move
+        self.built += 1
         return move
 
-    def simulate(self, places: tuple, rest: bytes) -> list[int]:
-        """The tokens that ``places`` still owes after ``rest``, by the same moves without new states."""
-        child, token_at, pairs = self.child, self.token_at, self.pairs
-        opened = []
-        for node, last, decided in places:
-            chain = None
-            for token in decided:
-                chain = (token, chain)
-            opened.append((node, last, chain))
-        for byte in rest:
-            still, closed = [], None
-            for node, last, chain in opened:
-                after = child.get(node << 8 | byte)
-                if after is not None:
-                    still.append((after, last, chain))
-                    if closed is None:
-                        token = token_at[after]
-                        if token is not None:
-                            if last == START:
-                                closed = (0, token, (token, chain))
-                            else:
-                                fits = pairs.get(last << 20 | token)
-                                if self.compatible(last, token) if fits is None else fits:
-                                    closed = (0, token, (token, chain))
-            still.append(closed)
-            opened = still
-        out, chain = [], opened[-1][2]
-        while chain:
-            out.append(chain[0])
-            chain = chain[1]
-        return out[::-1]
-
-    def longest(self, piece: bytes) -> list[int] | None:
-        """The longest token at each place, if all neighbours fit: then no other sequence does."""
-        child, token_at, pairs = self.child, self.token_at, self.pairs
-        out, last, at, size = [], START, 0, len(piece)
-        while at < size:
-            node, best, end = 0, None, at
-            for i in range(at, size):
-                node = child.get(node << 8 | piece[i])
-                if node is None:
-                    break
-                token = token_at[node]
-                if token is not None:
-                    best, end = token, i + 1
-            if last != START:
-                fits = pairs.get(last << 20 | best)
-                if not (self.compatible(last, best) if fits is None else fits):
-                    return None
-            out.append(best)
-            last, at = best, end
-        return out
-
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out, moves = self.first, [], self.moves
-        for at, byte in enumerate(piece):
+        state, closed, moves = self.first, [], self.moves
+        for byte in piece:
             move = moves[state].get(byte)
             if move is None:
-                if len(self.places) >= self.max_states:
-                    return self.longest(piece) or out + self.simulate(self.places[state], piece[at:])
                 move = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return out + list(self.places[state][-1][2])
+                moves = self.moves
+            state, token = move
+            closed.append(token)
+        out, at, length = [], len(closed), self.length
+        while at:
+            token = closed[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
 
 
 class StreamDecoder:
@@ -269,15 +231,17 @@ def pieces_of(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
 
-#: White space that ends a text or stands beside other white space.
+#: White space that ends a text or stands beside other white space; and a single space that doesn't.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def encoder(machine: Transducer, pattern: str):
     """A function from a text to an array of its ids.
 
     A single space between two characters that aren't white space always begins a piece, whatever is around.  So
-    texts are cut there first and each word is cut by the pattern only when it isn't remembered.  Words are
+    texts are cut there first, and each word (with the loose white space beside it) is cut by the pattern only when it
+    isn't remembered.  Words are
     remembered in two generations of MAX_WORDS / 2; the older one goes when the newer is full.
     """
     cut = pieces_of(pattern)
@@ -303,9 +267,7 @@ def encoder(machine: Transducer, pattern: str):
         return found
 
     def encode(text: str) -> array.array:
-        if not text or _LOOSE.search(text):
-            return fresh(text)
-        first, *others = text.split(" ")
+        first, *others = _SINGLE.split(text) if _LOOSE.search(text) else text.split(" ")
         ids = fresh(first)
         known = new.get
         for word in others:
