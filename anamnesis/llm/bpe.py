@@ -13,8 +13,9 @@ than the longest token, so the lookahead is bounded.  At the end of a piece the
 outputs are followed back from the last byte, token by token.
 
 States are built when first reached.  When ``max_states`` of them exist, all
-but the current one are forgotten and built again as they are needed, so the
-same moves are made whatever the bound.
+are forgotten before the next pieces and built again as they are needed, so the
+same moves are made whatever the bound.  The new pieces of many texts walk at
+once, byte by byte, in arrays; a piece beyond WIDTH bytes walks alone.
 
 Decoding: token bytes pass through an incremental UTF-8 decoder whose state is
 the at most three bytes of an unfinished character; its moves are remembered
@@ -34,6 +35,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,12 @@ MAX_STATES = 200_000
 MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
 START = -1
-#: Rows a batch that goes back to Spark.
-BATCH = 1_000
+#: Rows a batch that goes back to Spark, and characters that are read at once.
+BATCH, CHARS = 1_000, 2_000_000
+#: Bytes of a piece, and pieces, that walk at once.
+WIDTH, WALKERS = 128, 65_536
+#: Characters of a word that is worth remembering.
+LONGEST = 100
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -78,21 +84,35 @@ class Transducer:
         #: nodes that go on; a place at any other one is over
         self.inner = {key >> 8 for key in self.child}
         self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.length_of = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int32)
+        for rank, token in self.bytes_of.items():
+            self.length_of[rank] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
         self.state_of: dict[tuple, int] = {}
         self.places: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.built = 0
+        #: state << 8 | byte -> next state; the token it closes is the last one of the next state
+        self.moves: dict[int, int] = {}
+        self.token_of = np.zeros(1 << 10, dtype=np.int32)
+        self._mirror()
         self.first = self._state(((0, START),))
 
+    def _mirror(self) -> None:
+        """The moves as sorted arrays."""
+        keys = np.fromiter(self.moves.keys(), dtype=np.int64, count=len(self.moves))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], 1 << 62)
+        self.after = np.append(np.fromiter(self.moves.values(), dtype=np.int64, count=len(self.moves))[order], 0)
+
     def _state(self, places: tuple) -> int:
         state = self.state_of.get(places)
         if state is None:
-            if len(self.places) >= self.max_states:
-                self.state_of, self.places, self.moves = {}, [], []
-                self.first = self._state(((0, START),)) if places != ((0, START),) else 0
             state = self.state_of[places] = len(self.places)
             self.places.append(places)
-            self.moves.append({})
+            if state >= len(self.token_of):
+                self.token_of = np.append(self.token_of, np.zeros_like(self.token_of))
+            self.token_of[state] = places[-1][1]
         return state
 
     def merge(self, piece: bytes, below: int | None = None) -> list[int]:
@@ -146,10 +166,10 @@ class Transducer:
         self.pairs[left << 20 | right] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, token closed by the byte)."""
-        places, closed = [], None
-        for node, last in self.places[state]:
+    def _move(self, key: int) -> int:
+        """The state after ``key`` (a state and a byte), built now."""
+        places, closed, byte = [], None, key & 255
+        for node, last in self.places[key >> 8]:
             after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
@@ -159,32 +179,88 @@ class Transducer:
             if closed is None and token is not None and (last == START or self.compatible(last, token)):
                 closed = token
         places.append((0, closed))
-        moves = self.moves[state]
-        move = self._state(tuple(places)), closed
-        # of a state that was forgotten meanwhile, nothing is kept
-        moves[byte] = move
-        self.built += 1
-        return move
+        state = self.moves[key] = self._state(tuple(places))
+        return state
 
-    def encode(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        state, closed, moves = self.first, [], self.moves
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """The states after ``keys``."""
+        place = np.searchsorted(self.keys, keys)
+        after = self.after[place]
+        missing = np.nonzero(self.keys[place] != keys)[0]
+        if len(missing):
+            moves = self.moves
+            for i, key in zip(missing.tolist(), keys[missing].tolist()):
+                state = moves.get(key)
+                after[i] = self._move(key) if state is None else state
+        return after
+
+    def _walk(self, pieces: list[bytes]) -> list[list[int]]:
+        """Encodings of pieces of WIDTH bytes at most."""
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in order], dtype=np.int64)
+        width = int(sizes[0])
+        rows = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in order), dtype=np.uint8).reshape(-1, width)
+        closed = np.zeros(rows.shape, dtype=np.int32)
+        state = np.full(len(rows), self.first, dtype=np.int64)
+        for at in range(width):
+            live = int(np.searchsorted(-sizes, -at, side="left"))
+            state[:live] = self._step(state[:live] << 8 | rows[:live, at])
+            closed[:live, at] = self.token_of[state[:live]]
+        # from the last byte back, a token at a time
+        at, row, steps = sizes.copy(), np.arange(len(rows)), []
+        while len(row):
+            token = closed[row, at[row] - 1]
+            steps.append((row, token))
+            at[row] -= self.length_of[token]
+            row = row[at[row] > 0]
+        row, token = (np.concatenate([s[k] for s in reversed(steps)]) for k in (0, 1))
+        sort = np.argsort(row, kind="stable")
+        token, ends = token[sort].tolist(), np.cumsum(np.bincount(row, minlength=len(rows))).tolist()
+        out: list[list[int]] = [[]] * len(pieces)
+        begin = 0
+        for i, end in zip(order, ends):
+            out[i] = token[begin:end]
+            begin = end
+        return out
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The encoding of every piece; pieces aren't empty."""
+        if len(self.places) >= self.max_states:
+            self.forget()
+        elif len(self.moves) > 1.05 * len(self.keys) + 1_000:
+            self._mirror()
+        out: list[list[int]] = []
+        short: list[int] = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            out.append([whole] if whole is not None else [])
+            if whole is None:
+                if len(piece) <= WIDTH:
+                    short.append(i)
+                else:
+                    out[i] = self._alone(piece)
+        for begin in range(0, len(short), WALKERS):
+            some = short[begin : begin + WALKERS]
+            for i, ids in zip(some, self._walk([pieces[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _alone(self, piece: bytes) -> list[int]:
+        state, closed, moves = self.first, array.array("i"), self.moves
         for byte in piece:
-            move = moves[state].get(byte)
-            if move is None:
-                move = self._move(state, byte)
-                moves = self.moves
-            state, token = move
-            closed.append(token)
-        out, at, length = [], len(closed), self.length
+            key = state << 8 | byte
+            state = moves.get(key)
+            if state is None:
+                state = self._move(key)
+            closed.append(self.places[state][-1][1])
+        out, at = [], len(closed)
         while at:
-            token = closed[at - 1]
-            out.append(token)
-            at -= length[token]
-        out.reverse()
-        return out
+            out.append(closed[at - 1])
+            at -= int(self.length_of[closed[at - 1]])
+        return out[::-1]
+
+    def encode(self, piece: bytes) -> list[int]:
+        return self.encode_all([piece])[0] if piece else []
 
 
 class StreamDecoder:
@@ -237,7 +313,7 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def encoder(machine: Transducer, pattern: str):
-    """A function from a text to an array of its ids.
+    """A function from texts to arrays of their ids.
 
     A single space between two characters that aren't white space always begins a piece, whatever is around.  So
     texts are cut there first, and each word (with the loose white space beside it) is cut by the pattern only when it
@@ -248,39 +324,59 @@ def encoder(machine: Transducer, pattern: str):
     new: dict[str, array.array] = {}
     old: dict[str, array.array] = {}
 
-    def fresh(text: str) -> array.array:
-        ids = array.array("i")
-        for piece in cut(text):
-            ids.extend(machine.encode(piece.encode()))
-        return ids
-
-    def missing(word: str) -> array.array:
+    def learn(words: list[str]) -> dict[str, array.array]:
+        """The ids of words that aren't remembered; each of them, but the first of a text, has its blank before it."""
+        cuts = [cut(word) for word in words]
+        pieces = list({piece: None for found in cuts for piece in found})
+        ids_of = dict(zip(pieces, machine.encode_all([piece.encode() for piece in pieces])))
+        made = {}
+        for word, found in zip(words, cuts):
+            ids = made[word] = array.array("i")
+            for piece in found:
+                ids.extend(ids_of[piece])
+        return made
+
+    def encode(texts: list[str]) -> list[array.array]:
         nonlocal new, old
-        found = old.get(word)
-        if found is None:
-            found = fresh(" " + word)
-            if len(word) > 100:
-                return found
+        split = [_SINGLE.split(text) if _LOOSE.search(text) else text.split(" ") for text in texts]
+        # the first word of a text has no blank before it
+        firsts = learn(list({words[0]: None for words in split}))
+        unknown = {word for words in split for word in words[1:] if word not in new}
+        for word in unknown & old.keys():
+            new[word] = old[word]
+        unknown = [word for word in unknown if word not in new]
+        made = learn([" " + word for word in unknown])
+        for word in unknown:
+            new[word] = made[" " + word]
+        out = []
+        for words in split:
+            ids = array.array("i", firsts[words[0]])
+            for word in words[1:]:
+                ids.extend(new[word])
+            out.append(ids)
+        for word in unknown:
+            if len(word) > LONGEST:
+                del new[word]
         if len(new) >= MAX_WORDS // 2:
             old, new = new, {}
-        new[word] = found
-        return found
-
-    def encode(text: str) -> array.array:
-        first, *others = _SINGLE.split(text) if _LOOSE.search(text) else text.split(" ")
-        ids = fresh(first)
-        known = new.get
-        for word in others:
-            found = known(word)
-            if found is None:
-                found = missing(word)
-                known = new.get
-            ids.extend(found)
-        return ids
+        return out
 
     return encode
 
 
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in runs of about CHARS characters, or one longer text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > CHARS:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:
     """(rank file, pattern); the file of the public vocabulary unless a path is given."""
     import public_tokenizers
@@ -307,17 +403,17 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
         schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, back = encoder(transducer(shared.value), pattern), StreamDecoder(transducer(shared.value).bytes_of)
+        many, back = encoder(transducer(shared.value), pattern), StreamDecoder(transducer(shared.value).bytes_of)
         for whole in batches:
             for at in range(0, len(whole), BATCH):
                 batch = whole.slice(at, BATCH)
                 flat, ends, texts = array.array("i"), array.array("i", [0]), []
-                for value in batch.column(text):
-                    ids = one(value.as_py() or "")
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    if decoded:
-                        texts.append(back.decode(ids))
+                for part in slices([value or "" for value in batch.column(text).to_pylist()]):
+                    for ids in many(part):
+                        flat.extend(ids)
+                        ends.append(len(flat))
+                        if decoded:
+                            texts.append(back.decode(ids))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, *([pa.array(texts, pa.string())] if decoded else [])], schema.names)
 
