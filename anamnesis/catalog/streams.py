@@ -18,6 +18,7 @@ from anamnesis.plans.consolidation import consolidate_all
 from anamnesis.session import scratch_path
 from anamnesis.sources import tables
 from anamnesis.streaming import live as streams
+from anamnesis.streaming import timers
 from anamnesis.streaming.fold import run_to_end
 
 
@@ -103,6 +104,52 @@ def _stream_chunks(t: Tables):
     return _finish(t, streams.assemble_chunks(chunks), "chunks")
 
 
+# Timers run out up to the latest row of the stream, whoever's it is; a watermark counts whole milliseconds.
+@query(
+    "stream_idle_sleep",
+    """with c as (select user_id % 10 as channel_id, epoch_us(ts) as us from events where event_type not in ('error', 'signup')),
+clock as (select max(us) // 1000 * 1000 as now from c),
+busy as (select channel_id, us // 600000000 as tick from c where us <= (select now from clock) group by all),
+gaps as (select *, lead(tick) over (partition by channel_id order by tick) as following from busy),
+told as (select channel_id, tick, n, following from gaps cross join (select unnest(range(7)) as n))
+select channel_id, tick + n as tick, n as no_comment_count, case n when 0 then 'send_comment' when 6 then 'sleep' else 'process_messages' end as action, n = 6 as sleep_mode
+from told where n = 0 or ((following is null or tick + n < following) and (tick + n + 1) * 600000000 <= (select now from clock))""",
+)
+def _stream_idle_sleep(t: Tables):
+    comments = _stream(t).filter(~F.col("event_type").isin("error", "signup")).select((F.col("user_id") % 10).alias("channel_id"), "ts")
+    return _finish(t, timers.idle_sleep(comments, 600, "0 seconds"), "idle-sleep")
+
+
+@query(
+    "stream_idle_clients",
+    """with ops as (select user_id as client_id, event_id as seq, epoch_us(ts) as us, event_type in ('view', 'purchase') as reads from events),
+p as (select *, lag(us) over w as pus, lag(reads) over w as preads from ops window w as (partition by client_id order by us, seq)),
+runs as (select *, sum(case when pus is null or preads or us - pus > 300000000 then 1 else 0 end) over (partition by client_id order by us, seq) as run from p)
+select client_id, count(*) as messages, max(us) + 300000000 as dropped_us from runs group by client_id, run
+having not bool_or(reads) and max(us) + 300000001 <= (select max(us) // 1000 * 1000 from ops)""",
+)
+def _stream_idle_clients(t: Tables):
+    op = F.when(F.col("event_type").isin("view", "purchase"), "read").otherwise("post")
+    operations = _stream(t).select(F.col("user_id").alias("client_id"), F.col("event_id").alias("seq"), "ts", op.alias("op"))
+    return _finish(t, timers.idle_clients(operations, "0 seconds"), "idle-clients")
+
+
+@query("stream_departures")
+def _stream_departures(t: Tables):
+    face = F.col("event_type").isin("click", "view", "purchase").alias("face_detected")
+    detections = _stream(t).select((F.col("user_id") % 10).alias("device_id"), "ts", F.col("event_id").alias("seq"), face)
+    return _finish(t, timers.departures(detections, 600, 1800, 3600, "0 seconds"), "departures")
+
+
+@query(
+    "stream_utterances",
+    f"""select * from ({_sql_of("silence_segments")}) where end_us + 1200000000 <= (select max(epoch_us(ts)) // 1000 * 1000 from events)""",
+)
+def _stream_utterances(t: Tables):
+    speech = _stream(t).select((F.col("user_id") % 10).alias("device_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    return _finish(t, timers.closed_utterances(speech, 1200, "0 seconds"), "utterances")
+
+
 def _contents(t: Tables) -> DataFrame:
     """Every turn of a conversation is one retain call."""
     turns = t.read("conversations").select("conv_id", "turn", "role", "text")
