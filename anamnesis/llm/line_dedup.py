@@ -1,22 +1,27 @@
 """Line deduplication by distributed prefix doubling over line numbers.
 
 Every line that isn't blank is a symbol (its MD5).  A suffix is named by its
-first line, then by its first 2, 4, 8 ... lines: the name of a suffix for twice
-as many lines is the hash of its own name and the name of the suffix that many
-lines later.  Names stand in for ranks, so a round needs one join and one
-grouping and no global sort; the suffixes of one name are an interval of the
-suffix array whose longest common prefix is at least that long.  Suffixes that
-are alone in their interval leave the game, so a round works only on what
-repeats, and the rounds end with the longest repeated run.
+first 2, then 4, 8 ... lines: the name of a suffix for twice as many lines is
+the hash of its own name and the name of the suffix that many lines later,
+which stands in the same document.  Names stand in for ranks, so a round needs
+no global sort; the suffixes of one name are an interval of the suffix array
+whose longest common prefix is at least that long.  Suffixes that are alone in
+their interval leave the game, so a round works only on what repeats, and the
+rounds end with the longest repeated run.
 
 A run of RUN lines or more, or a single line of LONG words or more, that
-occurred earlier (smaller doc_id, then earlier line) is a later copy, and its
-lines are removed.  For the first suffix of each copied stretch, the exact
-common prefix with the earliest place of its longest interval is found by going
-down the names again; the longest of a document is reported.
+occurred earlier (smaller doc_id, then earlier line) is a later copy.  Every
+suffix that isn't the first of its interval says (start, length of the
+interval); these stretches are merged per document and their lines removed.
+With ``runs``, the exact common prefix with the earliest place of the longest
+interval is found for the first suffix of each copied stretch by going down the
+names again; the longest of a document is reported.
 
 Everything is DataFrame and SQL functions.  A very common line is a group with
-a count and a first place, joined back by a join that Spark can split.
+a first and a last place, joined back by a join that Spark can split.  Only rows
+that pass a sieve go to a join: a bitmap of SIEVE_BITS hashed keys, 8 MB however
+many keys there are.  It never loses a row; when the keys outnumber its bits it
+lets all rows pass, and texts that lose no line are shuffled in vain.
 
 Defined cases: a null or empty text has no lines; blank lines have no name and
 stay; a null doc_id comes last; rows that agree in doc_id and text are one
@@ -35,6 +40,8 @@ from anamnesis.session import materialize
 #: Lines of a repeated run at least; a single line of LONG words is one too.
 RUN = 2
 LONG = 50
+#: Bits of a sieve.
+SIEVE_BITS = 1 << 26
 _PLACE = ("doc_id", "document", "seq")
 
 
@@ -42,80 +49,136 @@ def document_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), whole_text())))
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """document, doc_id, seq (number among the lines that aren't blank), pos (among all), next_pos, name, pair and long."""
-    numbered = "filter(transform(split(coalesce(text, ''), '\\n', -1), (l, i) -> struct(i as pos, l as line)), x -> trim(x.line) != '')"
-    long = f"regexp_count(x.line, '{WORD.replace(chr(92), chr(92) * 2)}') >= {LONG}"
-    named = f"transform({numbered}, x -> struct(x.pos as pos, unhex(md5(x.line)) as name, {long} as long))"
-    rows = docs.select("doc_id", document_key().alias("document"), F.expr(named).alias("lines"))
-    following = F.expr("zip_with(lines, slice(lines, 2, greatest(size(lines) - 1, 0)), (a, b) -> struct(a.pos as pos, b.pos as next_pos, a.name as name, a.long as long, unhex(md5(concat(a.name, b.name))) as pair))")
-    return rows.select("doc_id", "document", F.posexplode(following).alias("seq", "line")).select("doc_id", "document", "seq", "line.*")
+def line_names(docs: DataFrame) -> DataFrame:
+    """doc_id, document, lines: name and long of every line that isn't blank."""
+    words = f"regexp_count(l, '{WORD.replace(chr(92), chr(92) * 2)}')"
+    filled = "filter(split(coalesce(text, ''), '\\n', -1), l -> trim(l) != '')"
+    named = F.expr(f"transform({filled}, l -> struct(unhex(md5(l)) as name, {words} >= {LONG} as long))")
+    return docs.select("doc_id", document_key().alias("document"), named.alias("lines"))
 
 
-def _intervals(suffixes: DataFrame, label: str) -> DataFrame:
-    """The suffixes whose name others have too, with the first place of that name."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *_PLACE))
-    places = suffixes.groupBy("name").agg(F.count("*").alias("size"), first.alias("first")).filter("size > 1")
-    places = materialize(places.select("name", "first"), f"{label}-names")
-    return materialize(suffixes.join(places, "name"), label)
+def first_suffixes(lines: DataFrame) -> DataFrame:
+    """doc_id, document, seq, length, name: long lines (length 1) and pairs of lines (length RUN)."""
+    placed = "transform(lines, (x, i) -> struct(i as seq, x.name as name, x.long as long))"
+    single = f"transform(filter({placed}, x -> x.long), x -> struct(x.seq as seq, 1 as length, x.name as name))"
+    pairs = f"transform(slice(lines, 1, greatest(size(lines) - 1, 0)), (x, i) -> struct(i as seq, {RUN} as length, unhex(md5(concat(x.name, lines[i + 1].name))) as name))"
+    return lines.select("doc_id", "document", F.explode(F.expr(f"concat({single}, {pairs})")).alias("suffix")).select("doc_id", "document", "suffix.*")
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """Bitmaps of the hashed keys: at most SIEVE_BITS / 32768 rows of 4 KB."""
+    slot = _slot(F.col(key))
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def _sifted(rows: DataFrame, key: Column, holes: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: false only where ``key`` isn't among the keys of the sieve."""
+    bucket, bits, slot = free_name(rows, "bucket"), free_name(rows, "bits"), free_name(rows, "slot")
+    holes = holes.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
+    at = rows.withColumn(slot, _slot(key))
+    found = at.join(F.broadcast(holes), F.bitmap_bucket_number(slot) == F.col(bucket), "left")
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return found.withColumn(name, held).select(*rows.columns, name)
+
+
+def _shared_names(suffixes: DataFrame) -> DataFrame:
+    """length and name that stand at two places or more, with the first place."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *_PLACE)
+    ends = suffixes.groupBy("length", "name").agg(F.min(place).alias("first"), F.max(place).alias("end"))
+    return ends.filter("NOT first <=> end").select("length", "name", "first")
 
 
 def _later() -> Column:
     return ~(F.col("document").eqNullSafe(F.col("first.document")) & (F.col("seq") == F.col("first.seq")))
 
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed lines, runs): document and pos of every line to remove; document, seq and length of every copied stretch."""
-    lines = materialize(numbered_lines(docs), "lines")
+def intervals(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Suffixes that others equal in ``length`` lines, with the first place: long single lines, then by level 2, 4, 8 ..."""
+    suffixes = first_suffixes(lines)
+    shared = materialize(_shared_names(suffixes), "shared-names")
+    held = _sifted(suffixes, F.col("name"), materialize(sieve(shared, "name"), "name-sieve"), "held").filter("held").drop("held")
     # equal rows of the input are one document
-    pairs = lines.filter("pair IS NOT NULL").select(*_PLACE, "pos", "next_pos", F.col("pair").alias("name"))
-    levels = [_intervals(pairs.distinct(), "suffixes-2")]
+    start = held.join(shared, ["length", "name"]).repartition("document").dropDuplicates(["document", "seq", "length"])
+    start = materialize(start, "suffixes-2")
+    levels = [start.filter(F.col("length") == RUN)]
     length = RUN
     while levels[-1].limit(1).count():
-        now = levels[-1].select(*_PLACE, "name")
-        ahead = now.select("document", (F.col("seq") - length).alias("seq"), F.col("name").alias("next"))
-        longer = now.join(ahead, ["document", "seq"]).select(*_PLACE, F.unhex(F.md5(F.concat("name", "next"))).alias("name"))
+        ahead = Window.partitionBy("document").orderBy("seq").rangeBetween(length, length)
+        longer = levels[-1].select(*_PLACE, "name", F.first("name").over(ahead).alias("next")).filter("next IS NOT NULL")
         length *= 2
-        levels.append(_intervals(longer, f"suffixes-{length}"))
-    single = _intervals(lines.filter("long").select(*_PLACE, "pos", "name").distinct(), "long-lines").filter(_later())
-
-    copies = levels[0].filter(_later())
-    removed = copies.select("document", F.explode(F.array("pos", "next_pos")).alias("pos"))
-    removed = materialize(removed.unionByName(single.select("document", "pos")).distinct(), "removed-lines")
-
+        longer = longer.select(*_PLACE, F.lit(length).alias("length"), F.unhex(F.md5(F.concat("name", "next"))).alias("name"))
+        levels.append(materialize(longer.join(_shared_names(longer), ["length", "name"]), f"suffixes-{length}"))
+    return start.filter("length = 1"), levels[:-1]
+
+
+def copied_stretches(single: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """document and its stretches (start, end) of lines to remove, without overlap."""
+    copies = single.filter(_later()).select("document", "seq", "length")
+    for level in levels:
+        copies = copies.unionByName(level.filter(_later()).select("document", "seq", "length"))
+    order = Window.partitionBy("document").orderBy("seq", "length")
+    reached = F.max(F.col("seq") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = copies.withColumn("opens", (reached.isNull() | (F.col("seq") > reached)).cast("int"))
+    numbered = opened.withColumn("stretch", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("document", "stretch").agg(F.min("seq").alias("start"), F.max(F.col("seq") + F.col("length")).alias("end"))
+    return merged.groupBy("document").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+
+
+def copied_runs(lines: DataFrame, single: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """document, seq, first and exact length of the run at the start of every copied stretch."""
+    single = single.filter(_later()).select("document", "seq", "first", "length")
+    if not levels:
+        return single
     # the first suffix of every stretch of copies, with the first place of its longest interval
     order = Window.partitionBy("document").orderBy("seq")
-    heads = copies.withColumn("before", F.lag("seq").over(order)).filter("before IS NULL OR before < seq - 1")
-    runs = heads.select("document", "seq", "first", F.lit(RUN).alias("length"))
-    top = len(levels) - 1
-    for level in range(1, top):
-        higher = levels[level].filter(_later()).select("document", "seq", F.col("first").alias("farther"))
+    heads = levels[0].filter(_later()).withColumn("before", F.lag("seq").over(order)).filter("before IS NULL OR before < seq - 1")
+    runs = heads.select("document", "seq", "first", "length")
+    for level in levels[1:]:
+        higher = level.filter(_later()).select("document", "seq", F.col("first").alias("farther"), F.col("length").alias("more"))
         runs = runs.join(higher, ["document", "seq"], "left")
-        runs = runs.select("document", "seq", F.coalesce("farther", "first").alias("first"), F.when(F.col("farther").isNull(), F.col("length")).otherwise(RUN << level).alias("length"))
+        runs = runs.select("document", "seq", F.coalesce("farther", "first").alias("first"), F.coalesce("more", "length").alias("length"))
     # going down, the common prefix grows by a level's lines where both places go on with the same name
-    symbols = lines.select("document", "seq", "name").distinct()
-    for level in [*range(top - 1, -1, -1), -1]:
-        names = levels[level].select("document", "seq", "name") if level >= 0 else symbols
-        here = names.select("document", F.col("seq").alias("at"), F.col("name").alias("here"))
+    symbols = lines.select("document", F.posexplode("lines").alias("seq", "line")).select("document", "seq", F.lit(1).alias("length"), "line.name").distinct()
+    for names in [*reversed(levels), symbols]:
+        here = names.select("document", F.col("seq").alias("at"), F.col("name").alias("here"), F.col("length").alias("step"))
         there = names.select(F.col("document").alias("other"), F.col("seq").alias("there_at"), F.col("name").alias("there"))
-        step = RUN << level if level >= 0 else 1
         runs = runs.withColumn("at", F.col("seq") + F.col("length")).join(here, ["document", "at"], "left")
         runs = runs.withColumn("other", F.col("first.document")).withColumn("there_at", F.col("first.seq") + F.col("length"))
         runs = runs.join(there, ["other", "there_at"], "left")
-        grown = F.when(F.col("here") == F.col("there"), F.col("length") + step).otherwise(F.col("length"))
+        grown = F.when(F.col("here") == F.col("there"), F.col("length") + F.col("step")).otherwise(F.col("length"))
         runs = runs.select("document", "seq", "first", grown.alias("length"))
-    return removed, runs.unionByName(single.select("document", "seq", "first", F.lit(1).alias("length")))
-
-
-def _cleaned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns for its lines, the positions to remove (null: none) and the longest copied run; their names."""
-    removed, runs = repeated_runs(docs.select("doc_id", "text"))
-    at = {c: free_name(docs, c) for c in ("document", "lines", "found", "gone", "longest")}
-    gone = removed.groupBy("document").agg(F.collect_set("pos").alias(at["gone"]))
-    longest = runs.groupBy("document").agg(F.max("length").alias(at["longest"]))
-    found = materialize(gone.join(longest, "document").withColumnRenamed("document", at["found"]), "line-changes")
-    texts = docs.withColumn(at["document"], document_key()).withColumn(at["lines"], F.split(whole_text(), "\n", -1))
-    return texts.join(found, F.col(at["document"]) == F.col(at["found"]), "left"), at
+    return runs.unionByName(single)
+
+
+def _cleaned(docs: DataFrame, runs: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns for its lines, the places of lines to remove (null: none) and the longest copied run; their names."""
+    lines = materialize(line_names(docs.select("doc_id", "text")), "lines")
+    single, levels = intervals(lines)
+    changes = copied_stretches(single, levels)
+    if runs:
+        longest = copied_runs(lines, single, levels).groupBy("document").agg(F.max("length").alias("longest"))
+        changes = changes.join(longest, "document", "left")
+    else:
+        changes = changes.withColumn("longest", F.lit(None).cast("int"))
+    changes = materialize(changes, "line-changes")
+    at = {c: free_name(docs, c) for c in ("document", "changed", "found", "stretches", "longest", "lines", "gone")}
+    found = changes.select(*[F.col(c).alias(at[k]) for c, k in (("document", "found"), ("stretches", "stretches"), ("longest", "longest"))])
+    keyed = docs.withColumn(at["document"], document_key())
+    keyed = _sifted(keyed, F.col(at["document"]), materialize(sieve(changes, "document"), "document-sieve"), at["changed"])
+    changed = keyed.filter(F.col(at["changed"])).join(found, F.col(at["document"]) == F.col(at["found"]), "left")
+    same = keyed.filter(~F.col(at["changed"])).select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns])
+    # lines that aren't blank are counted, all lines are placed
+    texts = changed.unionByName(same).withColumn(at["lines"], F.split(whole_text(), "\n", -1))
+    filled = f"filter(sequence(0, size(`{at['lines']}`) - 1), i -> trim(`{at['lines']}`[i]) != '')"
+    counted = f"flatten(transform(`{at['stretches']}`, s -> sequence(s.start, s.end - 1)))"
+    gone = f"CASE WHEN `{at['stretches']}` IS NOT NULL THEN transform(array({filled}), f -> transform({counted}, c -> f[c]))[0] END"
+    return texts.withColumn(at["gone"], F.expr(gone)), at
 
 
 def _left_text(at: dict[str, str]) -> Column:
@@ -132,7 +195,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 def line_report(docs: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id, n_lines (that aren't blank), n_removed, text (what is left); with ``runs`` also longest_run."""
-    texts, at = _cleaned(docs.select("doc_id", "text"))
+    texts, at = _cleaned(docs.select("doc_id", "text"), runs)
     return texts.select(
         "doc_id",
         F.expr(f"size(filter(`{at['lines']}`, l -> trim(l) != ''))").cast("bigint").alias("n_lines"),

@@ -110,6 +110,16 @@ def test_line_runs(spark):
     assert (text[2], text[4], text[5], text[8]) == ("x\ny", "q", "\nz", None)
 
 
+def test_full_sieve_changes_no_line(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    rows = [(n, "\n".join(f"line {k}" for k in draw.integers(0, 40, draw.integers(0, 30)))) for n in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:3], (None, rows[5][1]), (None, None)], "doc_id long, text string")
+    wide = Counter(tuple(r) for r in line_dedup.line_report(docs).collect())
+    monkeypatch.setattr(line_dedup, "SIEVE_BITS", 1)
+    assert Counter(tuple(r) for r in line_dedup.line_report(docs).collect()) == wide
+    assert {(i, n) for (i, _, n, _) in wide if i is not None} == {(i, removed) for i, (_, removed, _) in _copied(rows).items()}
+
+
 def test_line_runs_take_odd_rows(odd_docs):
     assert line_dedup.drop_repeated_lines(odd_docs).columns == odd_docs.columns
     rows = line_dedup.line_report(odd_docs).collect()
