@@ -148,11 +148,84 @@ def test_consolidate_stream_takes_each_fact_once(spark, tmp_path):
     for _ in range(2):
         units.select("bank_id", "unit_id").write.mode("append").json(source)
         stream = spark.readStream.schema("bank_id bigint, unit_id bigint").json(source)
-        jobs.consolidate_stream(stream, out, units, sources, once=True).awaitTermination()
+        jobs.consolidate_stream(stream, out, units, sources, as_of(), once=True).awaitTermination()
     taken = spark.read.parquet(f"{out}/actions")
     assert sorted(r.fact_id for r in taken.collect()) == [0, 1, 2, 3]
 
 
+def test_killed_retain_equals_an_undisturbed_one(spark, tmp_path):
+    first = [(1, 0, "Ann met Bob\nBob likes tea", "")]
+    second = [(2, 0, "Ann met Cid again\nBob likes tea", ""), (3, 1, "Ann sleeps", "")]
+    found = {}
+
+    def extractor(text, context):
+        return [{"text": line, "who": [w for w in line.split() if w.istitle()]} for line in text.split("\n")]
+
+    for killed in (False, True):
+        source, out = str(tmp_path / f"in{killed}"), str(tmp_path / f"out{killed}")
+        for n, calls in enumerate((first, second)):
+            spark.createDataFrame(calls, CONTENTS).coalesce(1).write.mode("append").json(source)
+            stream = spark.readStream.schema(CONTENTS).json(source)
+            if killed and n == 1:
+                # tables of the second micro-batch without its commit, as a job leaves them that is killed in between
+                rubbish = spark.read.parquet(f"{out}/units").drop("batch").withColumn("text", F.lit("half written"))
+                rubbish.write.parquet(f"{out}/units/batch={n}")
+                assert {r.text for r in jobs.retained(spark, out)["units"].collect()} == {"Ann met Bob", "Bob likes tea"}
+            jobs.retain_stream(stream, out, as_of(), extractor=extractor, once=True).awaitTermination()
+        tables = jobs.retained(spark, out)
+        found[killed] = {name: sorted(map(str, df.drop("embedding").collect())) for name, df in tables.items()}
+    assert found[True] == found[False]
+    names = {(r.bank_id, r.canonical_name): r.mention_count for r in tables["entities"].collect()}
+    assert names == {(0, "Ann"): 2, (0, "Bob"): names[(0, "Bob")], (0, "Cid"): 1, (1, "Ann"): 1}
+    pairs = tables["cooccurrences"].collect()
+    assert len(pairs) == 2 and len(found[True]["links"]) > 0
+
+
+def test_consolidate_stream_applies_its_actions(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    units = units_for_consolidation(spark).withColumn("bank_id", F.col("unit_id") % 2)
+    sources = spark.createDataFrame([], "obs_id bigint, source_id bigint")
+    for bank in (0, 1, 0):
+        spark.createDataFrame([(bank, bank)], "bank_id bigint, unit_id bigint").write.mode("append").json(source)
+        stream = spark.readStream.schema("bank_id bigint, unit_id bigint").json(source)
+        jobs.consolidate_stream(stream, out, units, sources, as_of(), per_bank=1, once=True).awaitTermination()
+    after, cited = jobs.consolidated(spark, out, units, sources)
+    whole = consolidate_all(units, sources, as_of(), per_bank=1)
+    view = lambda df: sorted((r.bank_id, r.text, r.fact_type, r.proof_count, r.consolidated_at is None) for r in df.collect())
+    assert view(after) == view(whole.units)
+    assert after.select("unit_id").distinct().count() == after.count()
+    assert sorted(r.source_id for r in cited.collect()) == sorted(r.source_id for r in whole.sources.collect())
+
+
+def test_consolidate_stream_keeps_failed_facts_open(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sources = spark.createDataFrame([], "obs_id bigint, source_id bigint")
+    done_before = F.when(F.col("unit_id") == 0, as_of())
+    units = units_for_consolidation(spark).withColumn("consolidated_at", done_before)
+    fails = {"bad": [3]}
+
+    def decide(facts, related):
+        failed = F.col("unit_id").isin(fails["bad"])
+        return facts.select(
+            F.col("unit_id").alias("fact_id"),
+            F.when(failed, "failed").otherwise("create").alias("action"),
+            "text",
+            F.lit(None).cast("bigint").alias("learning_id"),
+            F.lit("").alias("reason"),
+        )
+
+    left = []
+    for bad in ([3], [-1]):
+        fails["bad"] = bad
+        spark.createDataFrame([(1, 0)], "bank_id bigint, unit_id bigint").write.mode("append").json(source)
+        stream = spark.readStream.schema("bank_id bigint, unit_id bigint").json(source)
+        jobs.consolidate_stream(stream, out, units, sources, as_of(), decide, once=True).awaitTermination()
+        after, _ = jobs.consolidated(spark, out, units, sources)
+        left.append({r.unit_id for r in after.filter("fact_type = 'world' and consolidated_at is null").collect()})
+    assert left == [{3}, set()]
+    assert sorted(r.text for r in after.filter("fact_type = 'observation'").collect()) == ["fact 1", "fact 2", "fact 3"]
+
+
 def test_log_arrays(spark, tmp_path):
     good = [{"role": "user", "content": "hi", "embedding": [0.5]}, {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}]
     (tmp_path / "log_2026-01-02T03-04-05-678Z.json").write_text(json.dumps(good, indent=2))
