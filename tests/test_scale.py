@@ -222,3 +222,30 @@ def test_retain_counts(spark):
     )
     done = retain(contents, F.lit("2026-01-01").cast("timestamp"))
     assert {(r.bank_id, r.stored, r.duplicates) for r in done.counts.collect()} == {(0, 2, 2), (1, 1, 0)}
+
+
+@pytest.mark.parametrize(("threshold", "per"), [(-1.0, None), (0.1, "kind"), (0.95, None)])
+def test_nearest_ranks_exactly_whatever_share_is_close(spark, threshold, per):
+    # few values: many ties and copies
+    rows = np.random.default_rng(5).integers(-1, 2, size=(400, 5)).astype(float)
+    df = frame(spark, rows).withColumn("kind", F.col("unit_id") % 3)
+    got = similarity.nearest(df.withColumnRenamed("unit_id", "query_id"), df, threshold, 4, per=per, exclude_self=True, rows_per_block=150)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.query_id, r.unit_id % 3 if per else 0), []).append((r.rn, r.unit_id))
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    sims = np.round(unit @ unit.T, 9)
+    for i in range(400):
+        for kind in range(3 if per else 1):
+            best = sorted((-sims[i, j], j) for j in range(400) if j != i and sims[i, j] >= threshold and (not per or j % 3 == kind))[:4]
+            assert [u for _, u in sorted(found.get((i, kind), []))] == [j for _, j in best]
+
+
+def test_nearest_ranks_few_of_many_scores():
+    scores = np.random.default_rng(6).normal(size=(50, 2_000)).astype(np.float32)
+    scores[3, :5] = np.nan
+    row, col = similarity._close(scores, np.float32(-9.0), 30, 0.0)
+    assert len(row) == 50 * 30
+    for i in range(50):
+        assert set(col[row == i]) == set(np.argsort(-np.nan_to_num(scores[i], nan=-99.0))[:30])
