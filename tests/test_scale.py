@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import hooks
-from anamnesis.operators import dedup, entities, live, order, search, similarity, temporal
+from anamnesis.operators import dedup, entities, live, order, reflect, search, similarity, temporal
 from anamnesis.plans.retain import retain
 from anamnesis.streaming import live as streams
 
@@ -249,3 +249,22 @@ def test_nearest_ranks_few_of_many_scores():
     assert len(row) == 50 * 30
     for i in range(50):
         assert set(col[row == i]) == set(np.argsort(-np.nan_to_num(scores[i], nan=-99.0))[:30])
+
+
+def test_expanded_texts_are_not_sorted_by_request(spark):
+    rng = random.Random(7)
+    units = spark.createDataFrame([(b, 10 * b + i, "world", "ab" * rng.randint(0, 4_000)) for b in (0, 1) for i in range(10)], "bank_id bigint, unit_id bigint, fact_type string, text string")
+    units = units.unionByName(units.filter("unit_id = 3"))
+    asked = {(q, q % 2, rng.randint(0, 19), rng.randint(0, 12)) for q in range(60) for _ in range(15)}
+    requests = spark.createDataFrame([*asked], "query_id bigint, bank_id bigint, unit_id bigint, pos bigint")
+    pieces = reflect.chunks(units, 100)
+    rows = reflect.expand_units(requests, units, pieces)
+    got = sorted((r.query_id, r.unit_id, -1 if r.chunk_index is None else r.chunk_index, r.text or "") for r in rows.collect())
+    kept = requests.filter("pos < 10")
+    order = Window.partitionBy("query_id").orderBy("unit_id", "chunk_index")
+    shown = kept.join(pieces, ["bank_id", "unit_id"]).withColumn("n", F.row_number().over(order)).filter("n <= 100")
+    plain = kept.join(units.select("bank_id", "unit_id"), ["bank_id", "unit_id"]).select("query_id", "unit_id").join(shown, ["query_id", "unit_id"], "left")
+    assert got == sorted((r.query_id, r.unit_id, -1 if r.chunk_index is None else r.chunk_index, r.text or "") for r in plain.collect())
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [at for at, line in enumerate(plan) if "Window" in line and "query_id" in line]
+    assert windows and not any("text#" in plan[at + 1] for at in windows)
