@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import hooks
-from anamnesis.operators import dedup, entities, live, order, reflect, search, similarity, temporal
+from anamnesis.operators import dedup, entities, links, live, order, reflect, search, similarity, temporal
 from anamnesis.plans.retain import retain
 from anamnesis.streaming import live as streams
 
@@ -268,3 +268,25 @@ def test_expanded_texts_are_not_sorted_by_request(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
     windows = [at for at, line in enumerate(plan) if "Window" in line and "query_id" in line]
     assert windows and not any("text#" in plan[at + 1] for at in windows)
+
+
+def test_links_of_rare_and_frequent_entities(spark):
+    rng = random.Random(8)
+    units = [(u % 2, u // 6 if u % 17 else None, u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randint(0, 99))) for u in range(300)]
+    bridge = {(u, rng.choice([1, 1, 2, *range(3, 20)]) * 2 + (u % 2 if rng.random() < 0.9 else 0)) for u in range(300) for _ in range(2)}
+    df = spark.createDataFrame(units, "bank_id bigint, batch_id bigint, unit_id bigint, created_at timestamp")
+    found = links.entity_links(df, spark.createDataFrame([*bridge], "unit_id bigint, entity_id bigint"))
+    got = [(r.bank_id, r.from_unit_id, r.to_unit_id, r.entity_id) for r in found.collect()]
+    want = set()
+    for entity in {e for _, e in bridge}:
+        mine = [units[u] for u, e in bridge if e == entity]
+        for bank, call, unit, _ in mine:
+            others = [x for x in mine if x[2] != unit]
+            own = [x for x in others if (x[0], x[1]) == (bank, call) and call is not None]
+            rest = [x for x in others if x not in own and (x[0] != bank or None not in (x[1], call))]
+            rest = sorted(rest, key=lambda x: (x[3], x[2]), reverse=True)[:50]
+            want |= {edge for x in own + rest for edge in ((bank, unit, x[2], entity), (bank, x[2], unit, entity))}
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    few = links.entity_links(df, spark.createDataFrame([(u, 2 + u % 2) for u in range(40)], "unit_id bigint, entity_id bigint"))
+    assert few.count() == 2 * 20 * 19 - sum(1 for a in range(40) for b in range(40) if a != b and a % 2 == b % 2 and None in (units[a][1], units[b][1]))
