@@ -52,6 +52,8 @@ STRETCH = 8
 GRAMS = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
 CACHE = 200_000
+# texts whose words are held at once
+TEXTS_PER_STEP = 256
 
 TRIPLES = [t for t in itertools.combinations(range(WINDOW), 3) if t[2] - t[0] < STRETCH]
 _APART = re.compile(r"(?:(?<=\s)|^)\w(?:\s+\w){2,}(?=\s|$)")
@@ -317,6 +319,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     return machine
 
 
+def best_margins(machine: Machine, texts: pd.Series, known: dict[str, float]) -> np.ndarray:
+    """Highest margin of the words of each text, the words of some texts at a time; ``known`` keeps margins of words."""
+    best = np.empty(len(texts))
+    for at in range(0, len(texts), TEXTS_PER_STEP):
+        cut = [raw_words(text or "") for text in texts.iloc[at : at + TEXTS_PER_STEP]]
+        new = list({w for words in cut for w in words if w not in known})
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list({w for words in cut for w in words})
+        known.update(zip(new, machine.margins(new).tolist()))
+        best[at : at + len(cut)] = [max(map(known.__getitem__, words), default=machine.bias) for words in cut]
+    return best
+
+
 def score(docs: DataFrame, model: Machine | float, out: str = "score") -> DataFrame:
     """``docs`` with the score of every text."""
     if isinstance(model, float):
@@ -327,13 +343,7 @@ def score(docs: DataFrame, model: Machine | float, out: str = "score") -> DataFr
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine, known = shared.value, {}
         for part in parts:
-            cut = [raw_words(text or "") for text in part]
-            new = list({w for words in cut for w in words if w not in known})
-            if len(known) + len(new) > CACHE:
-                known = {}
-                new = list({w for words in cut for w in words})
-            known.update(zip(new, machine.margins(new).tolist()))
-            yield pd.Series(machine.probability(np.array([max(map(known.__getitem__, words), default=machine.bias) for words in cut], dtype=float)))
+            yield pd.Series(machine.probability(best_margins(machine, part, known)))
 
     return docs.withColumn(out, of("text"))
 

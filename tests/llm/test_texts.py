@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -176,3 +178,18 @@ def test_most_moves_of_new_words_are_known(some_docs):
 
     library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=machine.ranks, special_tokens={})
     assert [list(ids) for ids in many(loose)] == library.encode_ordinary_batch(loose)
+
+
+def test_toxicity_holds_the_words_of_some_texts_only():
+    class Lengths:
+        bias, most = -1.0, 0
+
+        def margins(self, words):
+            self.most = max(self.most, len(words))
+            return np.array([float(len(w)) for w in words])
+
+    machine = Lengths()
+    texts = pd.Series([f"w{i} {'x' * (i % 7)}" for i in range(3_000)] + ["", None])
+    got = toxicity.best_margins(machine, texts, {})
+    assert list(got) == [max(map(len, toxicity.raw_words(t or "")), default=-1) for t in texts]
+    assert machine.most <= 2 * toxicity.TEXTS_PER_STEP
