@@ -290,3 +290,31 @@ def test_links_of_rare_and_frequent_entities(spark):
     assert set(got) == want
     few = links.entity_links(df, spark.createDataFrame([(u, 2 + u % 2) for u in range(40)], "unit_id bigint, entity_id bigint"))
     assert few.count() == 2 * 20 * 19 - sum(1 for a in range(40) for b in range(40) if a != b and a % 2 == b % 2 and None in (units[a][1], units[b][1]))
+
+
+def test_blocks_of_a_large_key_copy_few_rows(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("bank_id"), F.col("id").alias("_uid"))
+    limit = similarity.ROWS_PER_BLOCK
+    left, right, _ = similarity.block_grid(rows, rows.withColumnRenamed("_uid", "_qid"), ["bank_id"], "_uid", "_qid", limit, limit)
+    assert left.count() + right.count() < 600_000
+    left, right, blocks = similarity.block_grid(
+        rows, rows.withColumnRenamed("_uid", "_qid"), ["bank_id"], "_uid", "_qid", limit, limit, similarity.QUERY_BLOCKS
+    )
+    assert left.count() + right.count() < 600_000
+    assert right.select(*blocks).distinct().count() == similarity.QUERY_BLOCKS
+
+
+def test_candidates_keep_the_best_and_few_others():
+    rng = np.random.default_rng(7)
+    stored, asked = (rng.normal(size=(n, 16)).astype(np.float32) for n in (20_000, 64))
+    stored[100:140] = stored[0]
+    stored[7] = np.nan
+    scores = np.nan_to_num(asked @ stored.T, nan=-np.inf)
+    for least in (-100.0, 2.0):
+        row, col = similarity._candidates(asked, stored, np.float32(least), 5, 1e-4)
+        assert len(row) < 64 * 60
+        found = set(zip(row.tolist(), col.tolist()))
+        for i in range(64):
+            assert {(i, j) for j in np.argsort(-scores[i])[:5].tolist() if scores[i, j] >= least} <= found
+    row, col = similarity._candidates(asked, stored, np.float32(2.0), None, 1e-4)
+    assert len(row) == np.count_nonzero(scores >= 2.0)
