@@ -12,16 +12,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from anamnesis.operators import live
 from anamnesis.streaming.live import continuity_step, new_continuity
 
+# waiting rows of a key that are Python objects at once
+ROWS_PER_STEP = 8_192
+# texts of an utterance that are joined as soon as there are so many
+TEXTS_PER_PART = 1_024
+
 
 class Machine(NamedTuple):
     """``step(state, row)`` takes a row, ``due(state)`` names the next timer in microseconds (None: none), and
@@ -49,33 +57,57 @@ def advance(machine: Machine, state: dict, rows: list[dict], now: int) -> list[t
 
 
 def timed_fold(stream: DataFrame, key: str, order: list[str], machine: Machine, schema: str, delay: str) -> DataFrame:
-    """Rows that ``machine`` gives for every key; ``stream`` has ``ts``, the key, and what the machine reads."""
+    """Rows that ``machine`` gives for every key; ``stream`` has ``ts``, the key, and what the machine reads.
+
+    Rows that wait are held as Arrow columns; only ROWS_PER_STEP of them at a time become Python objects.
+    """
     columns = [part.strip().split()[0] for part in schema.split(",")]
+    rows = stream.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    kind = to_arrow_schema(rows.drop("ts", key).schema, prefers_large_types=True)
 
     def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[str, Any] = json.loads(state.get[0]) if state.exists else {"at": machine.start(), "rows": []}
-        waiting = held["rows"]
+        held, packed = state.get if state.exists else (None, None)
+        at = machine.start() if held is None else json.loads(held)
+        parts = [kind.empty_table()] if packed is None else [_unpacked(packed)]
         if not state.hasTimedOut:
-            for batch in batches:
-                waiting += json.loads(batch.drop(columns=["ts", key]).to_json(orient="records"))
+            parts += [pa.Table.from_pandas(batch[kind.names], kind, preserve_index=False) for batch in batches]
         now = state.getCurrentWatermarkMs() * 1000
-        waiting.sort(key=lambda row: [row[c] for c in order])
-        ready = [row for row in waiting if row["us"] <= now]
-        later = waiting[len(ready) :]
-        found = advance(machine, held["at"], ready, now)
-        due = machine.due(held["at"])
-        wake = min([row["us"] for row in later[:1]] + ([due] if due is not None else []), default=None)
-        if not later and held["at"] == machine.start():
+        waiting = pa.concat_tables(parts).sort_by([(c, "ascending") for c in order])
+        del parts, packed
+        n = pc.sum(pc.less_equal(waiting["us"], now)).as_py() or 0
+        for begin in range(0, n, ROWS_PER_STEP):
+            ready = waiting.slice(begin, min(ROWS_PER_STEP, n - begin)).to_pylist()
+            found = advance(machine, at, ready, ready[-1]["us"])
+            yield pd.DataFrame([(group[0], *out) for out in found], columns=columns)
+        found = advance(machine, at, [], now)
+        yield pd.DataFrame([(group[0], *out) for out in found], columns=columns)
+        later = waiting.slice(n)
+        due = machine.due(at)
+        first = later["us"][0].as_py() if len(later) else None
+        wake = min([us for us in (first, due) if us is not None], default=None)
+        if not len(later) and at == machine.start():
             state.remove()
         else:
-            state.update((json.dumps({"at": held["at"], "rows": later}),))
+            state.update((json.dumps(at), _packed(later) if len(later) else None))
             if wake is not None:
                 # a timer fires as soon as the watermark is beyond its time
                 state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, now // 1000))
-        yield pd.DataFrame([(group[0], *out) for out in found], columns=columns)
 
-    rows = stream.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy(key).applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(
+        fold, schema, "state string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pa.Table:
+    with pa.ipc.open_stream(pa.py_buffer(packed)) as reader:
+        return reader.read_all()
 
 
 # --- a channel without comments falls asleep
@@ -177,21 +209,28 @@ def departures(detections: DataFrame, threshold: float, departure: float, cooldo
 
 
 def silence_machine(timeout_seconds: float) -> Machine:
+    def start() -> dict:
+        return {"start": None, "end": None, "pieces": 0, "parts": [], "texts": []}
+
     def step(state: dict, row: dict) -> list[tuple]:
         if state["start"] is None:
             state["start"] = row["us"]
         state["end"] = row["us"]
-        state["parts"].append(row["text"] or "")
+        state["pieces"] += 1
+        state["texts"].append(row["text"] or "")
+        if len(state["texts"]) == TEXTS_PER_PART:
+            state["parts"].append(" ".join(state["texts"]))
+            state["texts"] = []
         return []
 
     def expire(state: dict, us: int) -> list[tuple]:
-        text = " ".join(state["parts"])
-        out = [(state["start"], state["end"], len(state["parts"]), text)] if text.strip() else []
-        state.update(start=None, end=None, parts=[])
+        text = " ".join(state["parts"] + state["texts"])
+        out = [(state["start"], state["end"], state["pieces"], text)] if text.strip() else []
+        state.update(start())
         return out
 
     due = lambda state: None if state["end"] is None else state["end"] + int(timeout_seconds * 1_000_000)
-    return Machine(lambda: {"start": None, "end": None, "parts": []}, step, due, expire)
+    return Machine(start, step, due, expire)
 
 
 def closed_utterances(speech: DataFrame, timeout_seconds: float, delay: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Timers fire without a further row of their key, and late or shuffled rows change nothing."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,21 @@ def test_a_key_leaves_its_state():
             rows.append({"us": 2 * SECOND, "face_detected": False})
         timers.advance(machine, state, rows, 1_000 * SECOND)
         assert state == machine.start() and machine.due(state) is None
+
+
+def test_waiting_rows_are_no_python_objects(spark, tmp_path):
+    """The rows of a key all wait for the first watermark; they are held as columns, so a key's size hardly counts."""
+    n = 150_000
+
+    def step(state, row):
+        state["n"] += 1
+        return [(state["n"], sys.getallocatedblocks())] if state["n"] in (1, n) else []
+
+    machine = timers.Machine(lambda: {"n": 0}, step, lambda state: None, lambda state, us: [])
+    rows = spark.range(n + 1).selectExpr("if(id = 0, 0, 1) as key", "timestamp_micros(1000000 + id) as ts", "id as seq", "concat('text ', id) as text")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/000")
+    spark.range(1).selectExpr("2 as key", "timestamp_micros(60000000) as ts", "id as seq", "'' as text").write.parquet(f"{tmp_path}/in/001")
+    stream = spark.readStream.schema("key int, ts timestamp, seq long, text string").option("recursiveFileLookup", "true")
+    held = timers.timed_fold(stream.parquet(f"{tmp_path}/in"), "key", ["us", "seq"], machine, "key int, n long, blocks long", "0 seconds")
+    blocks = {(r.key, r.n): r.blocks for r in run_to_end(held, str(tmp_path)).collect()}
+    assert (1, n) in blocks and blocks[1, 1] - blocks[0, 1] < n
