@@ -318,3 +318,16 @@ def test_candidates_keep_the_best_and_few_others():
             assert {(i, j) for j in np.argsort(-scores[i])[:5].tolist() if scores[i, j] >= least} <= found
     row, col = similarity._candidates(asked, stored, np.float32(2.0), None, 1e-4)
     assert len(row) == np.count_nonzero(scores >= 2.0)
+
+
+def test_trigrams_of_names_are_not_broadcast(spark):
+    """Spark takes the size of the names for that of their trigrams, which are many times as much."""
+    from anamnesis.operators.summaries import has_model
+
+    entities = spark.createDataFrame([(0, 1, "Maria Santos"), (0, 2, "maria  santos"), (0, 3, "Paul Weber"), (1, 4, "Paul Weber"), (0, 5, None)], "bank_id long, entity_id long, canonical_name string")
+    models = spark.createDataFrame([(0, 9, "Maria Santos"), (1, 8, "Paul Webern"), (0, 3, "Other")], "bank_id long, entity_id long, name string")
+    found = has_model(entities, models)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "gram#" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+    # 10 of 12 trigrams of the last two names are shared
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1), (0, 2), (0, 3), (1, 4)]
