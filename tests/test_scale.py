@@ -320,14 +320,35 @@ def test_candidates_keep_the_best_and_few_others():
     assert len(row) == np.count_nonzero(scores >= 2.0)
 
 
-def test_trigrams_of_names_are_not_broadcast(spark):
+def test_trigrams_of_names_are_not_broadcast(spark, tmp_path):
     """Spark takes the size of the names for that of their trigrams, which are many times as much."""
     from anamnesis.operators.summaries import has_model
 
-    entities = spark.createDataFrame([(0, 1, "Maria Santos"), (0, 2, "maria  santos"), (0, 3, "Paul Weber"), (1, 4, "Paul Weber"), (0, 5, None)], "bank_id long, entity_id long, canonical_name string")
-    models = spark.createDataFrame([(0, 9, "Maria Santos"), (1, 8, "Paul Webern"), (0, 3, "Other")], "bank_id long, entity_id long, name string")
-    found = has_model(entities, models)
+    known = [(0, 1, "Maria Santos"), (0, 2, "maria  santos"), (0, 3, "Paul Weber"), (1, 4, "Paul Sebastian Weber"), (0, 5, None)]
+    spark.createDataFrame(known, "bank_id long, entity_id long, canonical_name string").write.parquet(f"{tmp_path}/known")
+    named = [(0, 9, "Maria Santos"), (1, 8, "Paul Sebastian Webern"), (0, 3, "Other")]
+    spark.createDataFrame(named, "bank_id long, entity_id long, name string").write.parquet(f"{tmp_path}/named")
+    found = has_model(spark.read.parquet(f"{tmp_path}/known"), spark.read.parquet(f"{tmp_path}/named"))
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "gram#" in line]
     assert joins and not [line for line in joins if "Broadcast" in line]
-    # 10 of 12 trigrams of the last two names are shared
+    # 20 of 23 trigrams of the last two names are shared
     assert sorted(tuple(r) for r in found.collect()) == [(0, 1), (0, 2), (0, 3), (1, 4)]
+
+
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """More pairs, more tasks: the memory of one stays the same, whatever number of partitions the session has."""
+    monkeypatch.setattr(entities, "ROWS_PER_TASK", 10, raising=False)
+    rows = [(0, u // 2, u, u, e) for u in range(20) for e in range(u % 3, 5)]
+    named = spark.createDataFrame(rows, "bank_id long, batch_id long, at long, unit_id long, entity_id long")
+    counts = entities.cooccurrence(named)
+    # 7 units have 5 entities, 7 have 4 and 6 have 3: 130 pairs
+    assert counts.rdd.getNumPartitions() == 13
+    merged = entities.merge_cooccurrence(counts, counts, 15)
+    assert merged.rdd.getNumPartitions() == 15
+    want = {}
+    for _, call, at, unit, e in rows:
+        for _, _, _, other, f in rows:
+            if unit == other and e < f:
+                want.setdefault((e, f), {})[call] = max(at, want.get((e, f), {}).get(call, 0))
+    got = {(r.entity_id_1, r.entity_id_2): (r.cooccurrence_count, r.last_cooccurred) for r in merged.collect()}
+    assert got == {pair: (2 * len(calls), max(calls.values())) for pair, calls in want.items()}
