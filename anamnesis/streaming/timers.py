@@ -74,6 +74,8 @@ def timed_fold(stream: DataFrame, key: str, order: list[str], machine: Machine,
         now = state.getCurrentWatermarkMs() * 1000
         waiting = pa.concat_tables(parts).sort_by([(c, "ascending") for c in order])
         del parts, packed
+        if waiting["us"].null_count:
+            raise ValueError("a row has no time")
         n = pc.sum(pc.less_equal(waiting["us"], now)).as_py() or 0
         for begin in range(0, n, ROWS_PER_STEP):
             ready = waiting.slice(begin, min(ROWS_PER_STEP, n - begin)).to_pylist()
