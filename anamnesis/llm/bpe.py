@@ -14,8 +14,10 @@ outputs are followed back from the last byte, token by token.
 
 States are built when first reached.  When ``max_states`` of them exist, all
 are forgotten before the next pieces and built again as they are needed, so the
-same moves are made whatever the bound.  The new pieces of many texts walk at
-once, byte by byte, in arrays; a piece beyond WIDTH bytes walks alone.
+same moves are made whatever the bound.  States are packed bytes and moves sorted
+arrays; only the moves of the last pieces are a dictionary.  The new pieces of
+many texts walk at once, byte by byte, in arrays as large as the pieces; a piece
+beyond WIDTH bytes walks alone.
 
 Decoding: token bytes pass through an incremental UTF-8 decoder whose state is
 the at most three bytes of an unfinished character; its moves are remembered
@@ -32,6 +34,7 @@ import array
 import base64
 import codecs
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -47,8 +50,9 @@ MAX_STATES = 200_000
 MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
 START = -1
+PLACE = struct.Struct("ii")
 #: Rows a batch that goes back to Spark, and characters that are read at once.
-BATCH, CHARS = 1_000, 2_000_000
+BATCH, CHARS = 1_000, 500_000
 #: Bytes of a piece, and pieces, that walk at once.
 WIDTH, WALKERS = 128, 65_536
 #: Characters of a word that is worth remembering.
@@ -60,6 +64,41 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+class Moves:
+    """Key -> next state: sorted arrays, and a dictionary of the keys that came since these were made."""
+
+    def __init__(self):
+        self.keys, self.after = np.array([1 << 62], dtype=np.int64), np.zeros(1, dtype=np.int32)
+        self.fresh: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.keys) - 1 + len(self.fresh)
+
+    def __setitem__(self, key: int, state: int) -> None:
+        self.fresh[key] = state
+
+    def get(self, key: int) -> int | None:
+        state = self.fresh.get(key)
+        if state is None:
+            place = self.keys.searchsorted(key)
+            state = int(self.after[place]) if self.keys[place] == key else None
+        return state
+
+    def settled(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after ``keys``, and the places of keys that the arrays don't have."""
+        place = np.searchsorted(self.keys, keys)
+        return self.after[place], np.flatnonzero(self.keys[place] != keys)
+
+    def settle(self) -> None:
+        """Take the dictionary's keys into the arrays, if it has more than a few."""
+        count = len(self.fresh)
+        if count > 0.05 * len(self.keys) + 1_000:
+            keys = np.append(self.keys, np.fromiter(self.fresh.keys(), dtype=np.int64, count=count))
+            after = np.append(self.after, np.fromiter(self.fresh.values(), dtype=np.int32, count=count))
+            order = np.argsort(keys)
+            self.keys, self.after, self.fresh = keys[order], after[order], {}
+
+
 class Transducer:
     """Encodes pieces of bytes by ``ranks``."""
 
@@ -67,7 +106,8 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split: dict[int, tuple] = {}
-        self.pairs: dict[int, bool] = {}
+        #: a slot a pair: the pair and whether it is compatible; a later pair of the same slot takes its place
+        self.pairs = array.array("q", [-1]) * MAX_PAIRS
         # the trie: node and byte -> node, and the token that ends at a node
         self.child: dict[int, int] = {}
         self.token_at: list[int | None] = [None]
@@ -83,36 +123,29 @@ class Transducer:
                 self.token_at[node] = rank
         #: nodes that go on; a place at any other one is over
         self.inner = {key >> 8 for key in self.child}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.length_of = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int32)
         for rank, token in self.bytes_of.items():
             self.length_of[rank] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.state_of: dict[tuple, int] = {}
-        self.places: list[tuple] = []
+        #: the places of a state: node and last token, PLACE each
+        self.state_of: dict[bytes, int] = {}
+        self.places: list[bytes] = []
         #: state << 8 | byte -> next state; the token it closes is the last one of the next state
-        self.moves: dict[int, int] = {}
+        self.moves = Moves()
         self.token_of = np.zeros(1 << 10, dtype=np.int32)
-        self._mirror()
-        self.first = self._state(((0, START),))
-
-    def _mirror(self) -> None:
-        """The moves as sorted arrays."""
-        keys = np.fromiter(self.moves.keys(), dtype=np.int64, count=len(self.moves))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], 1 << 62)
-        self.after = np.append(np.fromiter(self.moves.values(), dtype=np.int64, count=len(self.moves))[order], 0)
+        self.first = self._state([0, START])
 
-    def _state(self, places: tuple) -> int:
+    def _state(self, flat: list[int]) -> int:
+        places = array.array("i", flat).tobytes()
         state = self.state_of.get(places)
         if state is None:
             state = self.state_of[places] = len(self.places)
             self.places.append(places)
             if state >= len(self.token_of):
                 self.token_of = np.append(self.token_of, np.zeros_like(self.token_of))
-            self.token_of[state] = places[-1][1]
+            self.token_of[state] = flat[-1]
         return state
 
     def merge(self, piece: bytes, below: int | None = None) -> list[int]:
@@ -144,9 +177,11 @@ class Transducer:
         The joinings next to their border are undone, latest first: the border is safe if at no time the two parts
         beside it could have been joined before the joining that was undone last.
         """
-        known = self.pairs.get(left << 20 | right)
-        if known is not None:
-            return known
+        pair = left << 20 | right
+        slot = (left * 1_000_003 + right) % MAX_PAIRS
+        known = self.pairs[slot]
+        if known >> 1 == pair:
+            return bool(known & 1)
         a, b, limit = left, right, len(self.ranks)
         while True:
             joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
@@ -161,36 +196,32 @@ class Transducer:
                 limit, a = a, above[1]
             else:
                 limit, b = b + 1, below[0]
-        if len(self.pairs) >= MAX_PAIRS:
-            self.pairs.clear()
-        self.pairs[left << 20 | right] = known
+        self.pairs[slot] = pair << 1 | known
         return known
 
     def _move(self, key: int) -> int:
         """The state after ``key`` (a state and a byte), built now."""
         places, closed, byte = [], None, key & 255
-        for node, last in self.places[key >> 8]:
+        for node, last in PLACE.iter_unpack(self.places[key >> 8]):
             after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
             if after in self.inner:
-                places.append((after, last))
+                places += after, last
             token = self.token_at[after]
             if closed is None and token is not None and (last == START or self.compatible(last, token)):
                 closed = token
-        places.append((0, closed))
-        state = self.moves[key] = self._state(tuple(places))
+        places += 0, closed
+        state = self.moves[key] = self._state(places)
         return state
 
     def _step(self, keys: np.ndarray) -> np.ndarray:
         """The states after ``keys``."""
-        place = np.searchsorted(self.keys, keys)
-        after = self.after[place]
-        missing = np.nonzero(self.keys[place] != keys)[0]
+        after, missing = self.moves.settled(keys)
         if len(missing):
-            moves = self.moves
+            fresh = self.moves.fresh
             for i, key in zip(missing.tolist(), keys[missing].tolist()):
-                state = moves.get(key)
+                state = fresh.get(key)
                 after[i] = self._move(key) if state is None else state
         return after
 
@@ -198,24 +229,26 @@ class Transducer:
         """Encodings of pieces of WIDTH bytes at most."""
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
         sizes = np.array([len(pieces[i]) for i in order], dtype=np.int64)
-        width = int(sizes[0])
-        rows = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in order), dtype=np.uint8).reshape(-1, width)
-        closed = np.zeros(rows.shape, dtype=np.int32)
-        state = np.full(len(rows), self.first, dtype=np.int64)
-        for at in range(width):
-            live = int(np.searchsorted(-sizes, -at, side="left"))
-            state[:live] = self._step(state[:live] << 8 | rows[:live, at])
-            closed[:live, at] = self.token_of[state[:live]]
+        flat = np.frombuffer(b"".join(pieces[i] for i in order), dtype=np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        state = np.full(len(sizes), self.first, dtype=np.int64)
+        # the longest pieces come first, so the pieces that have a byte ``at`` are the first ones
+        lives = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        starts = np.cumsum(lives) - lives
+        closed = np.empty(len(flat), dtype=np.int32)
+        for at, (live, start) in enumerate(zip(lives.tolist(), starts.tolist())):
+            state[:live] = self._step(state[:live] << 8 | flat[begins[:live] + at])
+            closed[start : start + live] = self.token_of[state[:live]]
         # from the last byte back, a token at a time
-        at, row, steps = sizes.copy(), np.arange(len(rows)), []
+        at, row, steps = sizes.copy(), np.arange(len(sizes)), []
         while len(row):
-            token = closed[row, at[row] - 1]
+            token = closed[starts[at[row] - 1] + row]
             steps.append((row, token))
             at[row] -= self.length_of[token]
             row = row[at[row] > 0]
         row, token = (np.concatenate([s[k] for s in reversed(steps)]) for k in (0, 1))
         sort = np.argsort(row, kind="stable")
-        token, ends = token[sort].tolist(), np.cumsum(np.bincount(row, minlength=len(rows))).tolist()
+        token, ends = token[sort].tolist(), np.cumsum(np.bincount(row, minlength=len(sizes))).tolist()
         out: list[list[int]] = [[]] * len(pieces)
         begin = 0
         for i, end in zip(order, ends):
@@ -227,8 +260,8 @@ class Transducer:
         """The encoding of every piece; pieces aren't empty."""
         if len(self.places) >= self.max_states:
             self.forget()
-        elif len(self.moves) > 1.05 * len(self.keys) + 1_000:
-            self._mirror()
+        else:
+            self.moves.settle()
         out: list[list[int]] = []
         short: list[int] = []
         for i, piece in enumerate(pieces):
@@ -252,7 +285,7 @@ class Transducer:
             state = moves.get(key)
             if state is None:
                 state = self._move(key)
-            closed.append(self.places[state][-1][1])
+            closed.append(self.token_of[state])
         out, at = [], len(closed)
         while at:
             out.append(closed[at - 1])
@@ -321,19 +354,18 @@ def encoder(machine: Transducer, pattern: str):
     remembered in two generations of MAX_WORDS / 2; the older one goes when the newer is full.
     """
     cut = pieces_of(pattern)
-    new: dict[str, array.array] = {}
-    old: dict[str, array.array] = {}
+    # ids as packed ints
+    new: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
-    def learn(words: list[str]) -> dict[str, array.array]:
+    def learn(words: list[str]) -> dict[str, bytes]:
         """The ids of words that aren't remembered; each of them, but the first of a text, has its blank before it."""
         cuts = [cut(word) for word in words]
         pieces = list({piece: None for found in cuts for piece in found})
         ids_of = dict(zip(pieces, machine.encode_all([piece.encode() for piece in pieces])))
         made = {}
         for word, found in zip(words, cuts):
-            ids = made[word] = array.array("i")
-            for piece in found:
-                ids.extend(ids_of[piece])
+            made[word] = array.array("i", [token for piece in found for token in ids_of[piece]]).tobytes()
         return made
 
     def encode(texts: list[str]) -> list[array.array]:
@@ -350,10 +382,7 @@ def encoder(machine: Transducer, pattern: str):
             new[word] = made[" " + word]
         out = []
         for words in split:
-            ids = array.array("i", firsts[words[0]])
-            for word in words[1:]:
-                ids.extend(new[word])
-            out.append(ids)
+            out.append(array.array("i", b"".join([firsts[words[0]], *map(new.__getitem__, words[1:])])))
         for word in unknown:
             if len(word) > LONGEST:
                 del new[word]

@@ -193,3 +193,19 @@ def test_toxicity_holds_the_words_of_some_texts_only():
     got = toxicity.best_margins(machine, texts, {})
     assert list(got) == [max(map(len, toxicity.raw_words(t or "")), default=-1) for t in texts]
     assert machine.most <= 2 * toxicity.TEXTS_PER_STEP
+
+
+def test_states_and_moves_are_held_compactly():
+    """Bytes that a worker keeps for each state it has built, with its moves."""
+    import tracemalloc
+
+    data, _ = bpe.vocabulary()
+    ranks = bpe.read_ranks(data)
+    machine, draw, tokens = bpe.Transducer(ranks), random.Random(5), [t for t in ranks if t.isalpha()]
+    pieces = [b"".join(draw.choice(tokens) for _ in range(4)) for _ in range(5_000)]
+    tracemalloc.start()
+    assert len(machine.encode_all(pieces)) == len(pieces)
+    machine.encode_all(pieces[:1])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 300 * len(machine.places)
